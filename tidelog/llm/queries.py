@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from tidelog.llm import licenses
+from tidelog.llm.langid import op10_language_id
 from tidelog.llm.licenses import op2_license_scan
 from tidelog.llm.mixing import op5_mixing
 from tidelog.llm.packing import op3_packing
 from tidelog.llm.secrets import op7_secret_scan
+from tidelog.llm.toxicity import op1_toxicity
 from tidelog.llm.wavelet import op4_token_output
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
     "op4_token_output": op4_token_output,
     "op5_mixing": op5_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.oracle(),
