@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
     tokens = tokenized(docs, tokenizer_path, end_id)
     places = part_offsets(tokens.select("part", "n_tokens"), "part", "n_tokens", "part_offset")
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    placed = tokens.join(places, "part").crossJoin(F.broadcast(total))  # one row
+    placed = tokens.join(F.broadcast(places), "part").crossJoin(F.broadcast(total))  # a row for each partition, and one row
     return placed.select("doc_id", (F.col("local_start") + F.col("part_offset")).alias("place"), "n_tokens", "total", "ids").mapInPandas(cut, PIECES)
 
 

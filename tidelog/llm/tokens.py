@@ -16,8 +16,9 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers, and the longest of them. Memory only: other chunks are encoded as they come.
-REMEMBERED, LONGEST = 500_000, 40
+REMEMBERED, LONGEST = 800_000, 40
 _ODD = re.compile(r"\s\s")
+_WORD = re.compile(r" ?\S+")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _loaded: dict[str, "ChunkEncoder"] = {}
 
@@ -34,10 +35,26 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.cut else []
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_short(self, texts: list[str]) -> list[bytes]:
+        """As _encode. A line feed between two words is a token of its own, so words without white space
+        inside go to the library a few hundred in one string, and their ids are cut at the line feeds."""
+        plain = [_WORD.fullmatch(t) is not None for t in texts] if len(self.line) == 1 else [False] * len(texts)
+        words = [t for t, p in zip(texts, plain) if p]
+        others = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
+        cut: list[bytes] = []
+        width = self.dtype.itemsize
+        for e in self.tokenizer.encode_batch_fast(["\n".join(words[k : k + 500]) for k in range(0, len(words), 500)], add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            data, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.line[0]) * width).tolist(), len(ids) * width]
+            cut += [data[a:b] for a, b in zip([0, *(x + width for x in ends[:-1])], ends)]
+        taken = iter(cut)
+        return [next(taken) if p else next(others) for p in plain]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned integers."""
         if not self.cut:
@@ -48,7 +65,7 @@ class ChunkEncoder:
         extra: dict[str, bytes] = {}
         for k in range(0, len(missing), 2000):
             group = missing[k : k + 2000]
-            for piece, ids in zip(group, self._encode(group)):
+            for piece, ids in zip(group, self._encode_short(group)):
                 (known if len(known) < REMEMBERED and len(piece) <= LONGEST else extra)[piece] = ids
         if extra:
             out = [b"".join([known[p] if p in known else extra[p] for p in ps]) for ps in pieces]
