@@ -225,14 +225,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     by doc_id and hash."""
     rows, pieces = mix(docs)
     runs = pieces.groupBy("doc_id", "source_rank", "text_hash", "size", "start", "pass").agg(F.sum("length").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "length"))).alias("runs"))
-    sources = rows.select("source_rank", F.col("source").alias("_source")).distinct()
-    runs = runs.join(F.broadcast(sources), "source_rank").withColumnRenamed("doc_id", "_doc_id")  # a row for each source
-    texts = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sources = rows.select("source_rank", F.col("source").alias("name")).distinct()
+    runs = runs.join(F.broadcast(sources), "source_rank")  # a row for each source
+    runs = runs.select(*(F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "name", "text_hash", "size", "taken", "runs")))
+    texts = docs.withColumn("_mix_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     if rows.groupBy("doc_id", "source", "text_hash").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc_id", "source", "_hash"])
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    kept = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("_words"), (r["first"] + 1).cast("int"), r["length"].cast("int")))), " ")
-    joined = texts.join(runs, texts["doc_id"].cast("long").eqNullSafe(runs["_doc_id"]) & texts["source"].eqNullSafe(runs["_source"]) & (texts["_hash"] == runs["text_hash"]))
-    cut = joined.withColumn("_words", F.when(F.col("taken") < F.col("size"), words)).withColumn("text", F.when(F.col("taken") < F.col("size"), kept).otherwise(F.col("text")))
+        texts = texts.dropDuplicates(["doc_id", "source", "_mix_hash"])
+    joined = texts.join(runs, texts["doc_id"].cast("long").eqNullSafe(runs["_mix_doc_id"]) & texts["source"].cast("string").eqNullSafe(runs["_mix_name"]) & (texts["_mix_hash"] == runs["_mix_text_hash"]))
+    partly = F.col("_mix_taken") < F.col("_mix_size")
+    joined = joined.withColumn("_mix_words", F.when(partly, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    kept = F.array_join(F.flatten(F.transform("_mix_runs", lambda r: F.slice(F.col("_mix_words"), (r["first"] + 1).cast("int"), r["length"].cast("int")))), " ")
+    cut = joined.withColumn("text", F.when(partly, kept).otherwise(F.col("text")))
     names = docs.columns
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else cut.select(*names)
