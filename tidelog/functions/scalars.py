@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,3 +74,32 @@ def interpolated(curve: Column, tenor: Column) -> Column:
     low, high = F.element_at(curve, F.greatest(above, F.lit(1))), F.element_at(curve, F.least(above + 1, n))
     weight = (tenor - low["tenor"]) / (high["tenor"] - low["tenor"])
     return F.when(above == 0, F.element_at(curve, 1)["rate"]).when(above == n, F.element_at(curve, -1)["rate"]).otherwise(low["rate"] + weight * (high["rate"] - low["rate"]))
+
+
+#: Fixed values of the 64-bit FNV-1a hash.
+FNV64_START, FNV64_PRIME = 14695981039346656037, 1099511628211
+
+
+def fnv1a_64(c: Column) -> Column:
+    """Of the text's UTF-8 bytes, unsigned, as a decimal: Spark has no unsigned 64-bit type."""
+    digits = F.hex(c.cast("binary"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)), lambda k: k < F.length(digits))
+    wide = "decimal(38,0)"
+    byte = lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")
+    low = lambda h: (h % 256).cast("int")
+    step = lambda h, k: (((h - low(h) + low(h).bitwiseXOR(byte(k))).cast("decimal(20,0)") * F.lit(Decimal(FNV64_PRIME)).cast("decimal(13,0)")) % F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).cast(wide)
+    return F.aggregate(places, F.lit(Decimal(FNV64_START)).cast(wide), step).cast("decimal(20,0)")
+
+
+def first_parameter(query: Column, name: str) -> Column:
+    """The first value of a name in a=b&c=d; nothing is decoded. Null where it is missing."""
+    pairs = F.filter(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1) == name)
+    return F.get(F.transform(pairs, lambda p: F.substring(p, F.lit(len(name) + 2), F.length(p))), 0)
+
+
+def manifest_length(chunks: Column, batches: Column, kept: Column) -> Column:
+    return 64 + 24 * chunks + 4 * batches + 16 * kept
+
+
+def segments_per_manifest(capacity: Column) -> Column:
+    return F.greatest(F.floor((capacity - 64) / 28), F.lit(0)).cast("long")

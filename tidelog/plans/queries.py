@@ -587,3 +587,113 @@ def nested_roundtrip(spark, sf):
 def commit_rate_by_day(spark, sf):
     at = F.col("ts").cast("timestamp")
     return table(spark, sf, "events").groupBy("user_id", F.unix_seconds(F.date_trunc("day", at)).alias("day")).agg(F.count("*").alias("n"))
+
+
+# Smaller rules
+
+
+@query("SELECT event_type, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(event_type, ''), lambda c: ord(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::VARCHAR AS hash FROM (SELECT DISTINCT event_type FROM events)")
+def checksum_fnv64(spark, sf):
+    return table(spark, sf, "events").select("event_type").distinct().select("event_type", S.fnv1a_64(F.col("event_type")).cast("string").alias("hash"))
+
+
+@query("SELECT event_id, to_base64(encode(event_type || event_id)) AS encoded FROM events")
+def base64_text(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.base64(F.concat("event_type", "event_id").cast("binary")).alias("encoded"))
+
+
+@query("SELECT event_id, user_id::VARCHAR AS a, event_type AS b, CASE WHEN event_id % 2 = 0 THEN 'x=y' END AS c FROM events")
+def query_string_params(spark, sf):
+    """A repeated name gives its first value, and a value may hold the sign."""
+    q = F.concat(F.lit("a="), "user_id", F.lit("&b="), "event_type", F.lit("&a=0"), F.when(F.col("event_id") % 2 == 0, "&c=x=y").otherwise(""))
+    return table(spark, sf, "events").select("event_id", *(S.first_parameter(q, n).alias(n) for n in "abc"))
+
+
+@query("SELECT l_orderkey, 64 + 24 * count(*) + 4 * count(DISTINCT l_partkey) + 16 * count(*) FILTER (WHERE l_returnflag = 'N') AS length, greatest(0, (count(*) * 50 - 64) // 28) AS segments FROM lineitem GROUP BY 1")
+def manifest_sizes(spark, sf):
+    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("chunks"), F.countDistinct("l_partkey").alias("batches"), F.count_if(F.col("l_returnflag") == "N").alias("kept"))
+    return per.select("l_orderkey", S.manifest_length(F.col("chunks"), F.col("batches"), F.col("kept")).alias("length"), S.segments_per_manifest(F.col("chunks") * 50).alias("segments"))
+
+
+@query(f"SELECT version, sum(count(*)) OVER (ORDER BY version)::BIGINT AS rows_to, sum(sum(event_id)) OVER (ORDER BY version)::BIGINT AS sum_to FROM {LOG} GROUP BY version")
+def total_batches_running(spark, sf):
+    return V.running_totals(log(spark, sf), "event_id")
+
+
+@query("WITH h AS (SELECT event_type, count(*) AS head FROM events GROUP BY 1) SELECT event_type, user_id, CASE WHEN max(event_id) % 3 = 0 THEN head ELSE least(min(event_id), head) END AS cursor FROM events JOIN h USING (event_type) GROUP BY event_type, user_id, head")
+def topic_resume(spark, sf):
+    """A subscriber starts at the head, or where it asks, but not beyond the head."""
+    e = table(spark, sf, "events").select("event_type", "user_id", "event_id")
+    asked = e.groupBy("event_type", "user_id").agg(F.min("event_id").alias("wanted"), (F.max("event_id") % 3 == 0).alias("live"))
+    heads = e.groupBy("event_type").agg(F.count("*").alias("head"))
+    return asked.join(heads, "event_type").select("event_type", "user_id", F.when(F.col("live"), F.col("head")).otherwise(F.least("wanted", "head")).alias("cursor"))
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'dropped' ELSE 'released' END AS binding FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey % 5 = o_orderkey % 5")
+def binding_release(spark, sf):
+    """Released when key and incarnation both match, else dropped."""
+    live = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 5).cast("long").alias("incarnation"))
+    refs = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 5).alias("incarnation"))
+    joined = refs.join(live.withColumn("_live", F.lit(True)), ["c_custkey", "incarnation"], "left")
+    return joined.select("o_orderkey", F.when(F.col("_live"), "released").otherwise("dropped").alias("binding"))
+
+
+@query("SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS quiet FROM customer GROUP BY 1")
+def quiescent_keys(spark, sf):
+    """Keys with nothing open may be reclaimed."""
+    open_ = table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_open", F.lit(True))
+    keys = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(open_, "c_custkey", "left")
+    return keys.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("_open").isNull()).alias("quiet"))
+
+
+@query("SELECT a.conv_id, a.turn, b.role AS reply_role, CASE WHEN b.turn IS NULL THEN 'orphan' WHEN length(b.text) > 400 THEN 'ReplyTooLarge' ELSE 'replied' END AS status FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'")
+def ask_replies(spark, sf):
+    """Asks beside their replies by correlation; asks without one are swept, and replies over the limit fail."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("reply_role"), F.col("n").alias("reply_n"))
+    status = F.when(F.col("reply_role").isNull(), "orphan").when(F.col("reply_n") > 400, "ReplyTooLarge").otherwise("replied")
+    return turns.where("role = 'user'").join(replies, ["conv_id", "turn"], "left").select("conv_id", "turn", "reply_role", status.alias("status"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN strlen(text) > 192 THEN 'BodyTooLarge' ELSE 'echoed' END AS status, CASE WHEN strlen(text) <= 192 THEN text END AS body FROM conversations")
+def actor_echo(spark, sf):
+    fits = F.octet_length("text") <= 192
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(fits, "echoed").otherwise("BodyTooLarge").alias("status"), F.when(fits, F.col("text")).alias("body"))
+
+
+@query("SELECT source, count(*) AS segments, sum(strlen(text))::BIGINT AS length FROM documents GROUP BY 1")
+def object_length(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("segments"), F.sum(F.octet_length("text")).alias("length"))
+
+
+@query("SELECT w AS worker, k AS step, (w % 8 + k * (2 * (w % 4) + 1)) % 8 AS shard FROM range(16) a(w), range(8) b(k)")
+def steal_order(spark, sf):
+    """From its home on, with an odd stride, a worker visits each of eight shards once."""
+    workers = spark.range(16).select(F.col("id").alias("worker"), F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<long>")).alias("step"))
+    return workers.withColumn("shard", (F.col("worker") % 8 + F.col("step") * (2 * (F.col("worker") % 4) + 1)) % 8)
+
+
+@query("SELECT k AS i, 64 * (1 << k) AS class FROM range(9) t(k)")
+def pool_classes(spark, sf):
+    return spark.range(9).select(F.col("id").alias("i"), (F.pow(F.lit(2.0), F.col("id")) * 64).cast("long").alias("class"))
+
+
+@query("SELECT user_id, sum(CASE WHEN event_id % 3 = 2 THEN -1 ELSE 1 END)::BIGINT AS outstanding, count(*) FILTER (WHERE event_type = 'error') > 0 AS failed FROM events GROUP BY 1")
+def quota_outstanding(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_id") % 3 == 2, -1).otherwise(1)).alias("outstanding"), (F.count_if(F.col("event_type") == "error") > 0).alias("failed"))
+
+
+@query("SELECT user_id, event_id, next_id - event_id AS until_reply FROM (SELECT user_id, event_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id FROM events) WHERE event_type = 'click' AND next_id IS NOT NULL")
+def crash_outcome(spark, sf):
+    """From a holder's end to its successor's first sign."""
+    following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type").withColumn("_next", following)
+    return rows.where("event_type = 'click' AND _next IS NOT NULL").select("user_id", "event_id", (F.col("_next") - F.col("event_id")).alias("until_reply"))
+
+
+@query(f"SELECT head, since, count(*) FILTER (WHERE v <= since) AS skipped FROM (SELECT head, since, unnest(range(head - {K}, head)) AS v FROM (SELECT h * {K} + 1 AS head FROM range(1, 9) t(h)), (SELECT s AS since FROM range(0, 80, 5) u(s))) GROUP BY ALL")
+def kept_skip_count(spark, sf):
+    """How many of the batches that a Window commit keeps a reader already holds."""
+    roots = spark.range(1, 9).select((F.col("id") * K + 1).alias("head"), F.explode(F.sequence(F.lit(0), F.lit(75), F.lit(5)).cast("array<long>")).alias("since"))
+    kept = F.sequence(F.col("head") - K, F.col("head") - 1)
+    return roots.select("head", "since", F.size(F.filter(kept, lambda v: v <= F.col("since"))).cast("long").alias("skipped"))
