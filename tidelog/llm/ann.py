@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import table, written
-from tidelog.llm.vectors import chunks, stacked, usable
+from tidelog.llm.vectors import stacked, usable
 
 TABLES, PROBES, SEED = 24, 8, 5
 NEAREST, QUERY_EVERY = 20, 20
@@ -74,14 +74,15 @@ def _hashed(rows: DataFrame, longest: float | None, tables: int, probes: int) ->
 
 
 def _ranked(stored: DataFrame, asked: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    """(query, id, score): of each group of keys, each query's keep best. Large groups are dealt out in chunks of both sides."""
-    stored = chunks(stored, keys, CANDIDATES)
-    asked = chunks(asked, keys, QUERIES)
-    # each side is sent once for each chunk of the other
-    of_stored = stored.select(*keys, "n_chunks").distinct().withColumnRenamed("n_chunks", "n_other")
-    of_asked = asked.select(*keys, "n_chunks").distinct().withColumnRenamed("n_chunks", "n_other")
-    left = stored.join(of_asked, keys).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1))).select(*keys, F.col("chunk").alias("c"), "q", "id", "vector")
-    right = asked.join(of_stored, keys).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1))).select(*keys, "c", F.col("chunk").alias("q"), "id", "vector")
+    """(query, id, score): of each group of keys, each query's keep best. Large groups are dealt out in
+    chunks of both sides, and each side is sent once for each chunk of the other. Keys are tables and
+    buckets, so their counts are bounded by the parameters."""
+    count = lambda rows, size, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    groups = written(count(stored, CANDIDATES, "nc").join(count(asked, QUERIES, "nq"), keys), "groups")
+    c, q = F.pmod(F.xxhash64("id"), F.col("nc")).cast("int"), F.pmod(F.xxhash64("id"), F.col("nq")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = stored.join(F.broadcast(groups), keys).select(*keys, c.alias("c"), every("nq").alias("q"), "id", "vector")
+    right = asked.join(F.broadcast(groups), keys).select(*keys, every("nc").alias("c"), q.alias("q"), "id", "vector")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
