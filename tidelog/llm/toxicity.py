@@ -37,7 +37,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram, word) index pairs of the words' character n-grams, with a mark before the first letter. Of a longer word the ends count."""
     marked = ["\2" + (w if len(w) <= LONGEST_WORD else w[: LONGEST_WORD // 2] + w[-LONGEST_WORD // 2 :]) + "\3\0\0\0\0" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(m) for m in marked])
     code, valid = np.zeros(len(chars), np.uint32), np.ones(len(chars), bool)
     ids, owners = [], []
     for n in range(1, max(GRAM_LENGTHS) + 1):
@@ -46,7 +46,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code ^= code >> np.uint32(15)
         valid = valid[: len(own)] & (own != 0)
         if n in GRAM_LENGTHS:
-            ids.append(((code[valid] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64))
+            ids.append(((code[valid] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - GRAM_BITS)).astype(np.int32))
             owners.append(owner[: len(own)][valid])
     return np.concatenate(ids), np.concatenate(owners)
 
@@ -202,7 +202,8 @@ class Network:
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Of a toxic document, the windows that n-gram odds, then the network itself, find worst stand for it; of a clean one, windows drawn at random, then the worst."""
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
+    same: dict[str, str] = {}
+    words = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]  # one string for each word
     count = Counter(w for ws in words for w in set(ws))
     known = {w: k + 1 for k, (w, n) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:KNOWN_WORDS]) if n >= 3}
     net = Network.new(known, rng)
@@ -241,8 +242,11 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = SE
     epochs = max(epochs, -(-128 * STEPS // windows))
     for epoch in range(epochs):
         if epoch in (epochs * 3 // 7, epochs * 5 // 7):
-            logit, of = net.windows(words)
-            ranked = [logit[a:b] for a, b in zip(np.searchsorted(of, np.arange(len(docs))), np.searchsorted(of, np.arange(len(docs)), side="right"))]
+            ranked = []
+            for a in range(0, len(words), 50):
+                logit, of = net.windows(words[a : a + 50])
+                cuts = np.searchsorted(of, np.arange(len(words[a : a + 50]) + 1))
+                ranked += [logit[x:y] for x, y in zip(cuts, cuts[1:])]
         picked: list[tuple[np.ndarray, int]] = []
         for k, (y, d, ss) in enumerate(zip(label, docs, starts)):
             if not ss:
