@@ -15,11 +15,15 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker remembers, and the longest of them. Memory only: other chunks are encoded as they come.
-REMEMBERED, LONGEST = 800_000, 40
-_ODD = re.compile(r"\s\s")
+#: Chunks that a worker remembers, and the bytes of the longest. Memory only: others are encoded as they come.
+REMEMBERED, LONGEST = 1_500_000, 40
+#: Bytes of text that are looked up at a time.
+BATCH = 400_000
 _WORD = re.compile(r" ?\S+")
+#: White space that is not alone, or not ASCII.
+_ODD = re.compile("\\s\\s|[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+_BASE = 0x9E3779B97F4A7C15
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -34,7 +38,7 @@ class ChunkEncoder:
         self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.dtype)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.cut else []
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -59,20 +63,115 @@ class ChunkEncoder:
         """The ids of each text, as unsigned integers."""
         if not self.cut:
             return [np.frombuffer(b, self.dtype) for b in self._encode(texts)]
-        pieces = [_SAFE.split(t) if _ODD.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t and t[:1] != " " else _SAFE.split(t) for t in texts]
-        known = self.known
-        missing = list(set().union(*pieces) - known.keys())
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(missing), 2000):
-            group = missing[k : k + 2000]
-            for piece, ids in zip(group, self._encode_short(group)):
-                (known if len(known) < REMEMBERED and len(piece) <= LONGEST else extra)[piece] = ids
-        if extra:
-            out = [b"".join([known[p] if p in known else extra[p] for p in ps]) for ps in pieces]
-        else:
-            get = known.__getitem__
-            out = [b"".join(map(get, ps)) for ps in pieces]
-        return [np.frombuffer(b, self.dtype) for b in out]
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        group: list[tuple[int, bytes]] = []
+        size = 0
+        for k, t in enumerate(texts):
+            if _ODD.search(t):
+                out[k] = np.frombuffer(b"".join(self._encode_short(_SAFE.split(t))), self.dtype)
+            elif t:
+                group.append((k, t.encode("utf-8")))
+                size += len(group[-1][1])
+                if size >= BATCH:
+                    self._look_up(group, out)
+                    group, size = [], 0
+        if group:
+            self._look_up(group, out)
+        return out
+
+    def _look_up(self, group: list[tuple[int, bytes]], out: list[np.ndarray]) -> None:
+        """Texts without odd white space: every space begins a chunk. Chunks are told apart by 64-bit hashes of their bytes."""
+        raw = b"".join(t for _, t in group)
+        chars = np.frombuffer(raw, np.uint8)
+        begins = np.cumsum([0, *(len(t) for _, t in group[:-1])])
+        first = chars == 0x20
+        first[begins] = True
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(raw))
+        up, down = _powers(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((chars + np.uint64(1)) * up[: len(raw)], out=total[1:])
+        code = (total[end] - total[start]) * down[start]
+        code ^= code >> np.uint64(31)
+        code = (code + (end - start).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        own, at, inverse = np.unique(code, return_index=True, return_inverse=True)
+        place, length = self.known.find(own)
+        missing = np.flatnonzero(length < 0)
+        if len(missing):
+            missing = missing[np.argsort((end - start)[at[missing]] > LONGEST, kind="stable")]  # long ones last, to be forgotten
+            short = int(((end - start)[at[missing]] <= LONGEST).sum())
+            spans = zip(start[at[missing]].tolist(), end[at[missing]].tolist())
+            place[missing], length[missing] = self.known.add(own[missing], self._encode_short([raw[a:b].decode("utf-8") for a, b in spans]), short)
+        each = length[inverse]
+        done = np.cumsum(each)
+        where = np.repeat(place[inverse] - (done - each), each)
+        where += np.arange(len(where))
+        ids = self.known.ids.take(where)
+        self.known.forget()
+        cuts = [*(done[np.searchsorted(start, begins)] - each[np.searchsorted(start, begins)]).tolist(), len(ids)]
+        for (k, _), a, b in zip(group, cuts, cuts[1:]):
+            out[k] = ids[a:b]
+
+
+class Known:
+    """Ids by hash: two sorted levels, the small one merged into the large one now and then."""
+
+    def __init__(self, dtype: np.dtype):
+        self.ids, self.used, self.kept = np.zeros(1 << 16, dtype), 0, 0
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each; a number of -1: not known."""
+        place, length = np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
+        for known, at, n in self.levels:
+            if len(known):
+                k = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = known[k] == codes
+                place[hit], length[hit] = at[k[hit]], n[k[hit]]
+        return place, length
+
+    def add(self, codes: np.ndarray, ids: list[bytes], remembered: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first of them are remembered; the rest can be read until forget()."""
+        width = self.ids.dtype.itemsize
+        length = np.array([len(b) // width for b in ids], np.int64)
+        more = np.frombuffer(b"".join(ids), self.ids.dtype)
+        while self.used + len(more) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(more)] = more
+        place = self.used + np.cumsum(length) - length
+        self.used += len(more)
+        room = REMEMBERED - sum(len(level[0]) for level in self.levels)
+        n = min(remembered, max(room, 0))
+        if n:
+            self.kept = int(place[n - 1] + length[n - 1])
+            old, new = self.levels[1], (codes[:n], place[:n], length[:n])
+            self.levels[1] = self._merged(old, new)
+            if len(self.levels[1][0]) > 100_000:
+                self.levels = [self._merged(*self.levels), tuple(x[:0] for x in old)]
+        return place, length
+
+    def forget(self) -> None:
+        self.used = self.kept
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
+
+
+_powers_kept: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _powers_kept or len(_powers_kept[0]) < n:
+        size = 1 << max(19, n.bit_length())
+        _powers_kept[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size, np.uint64(base))
+            p[0] = 1
+            _powers_kept.append(np.multiply.accumulate(p))
+    return _powers_kept
 
 
 def encoder(path: str) -> ChunkEncoder:

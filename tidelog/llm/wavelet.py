@@ -168,8 +168,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_tokens
             return pd.DataFrame([row])
 
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                for name, ids in zip(batch["doc_id"].iloc[k : k + 64], enc.encode(batch["text"].iloc[k : k + 64].tolist())):
+            for k in range(0, len(batch), 256):
+                for name, ids in zip(batch["doc_id"].iloc[k : k + 256], enc.encode(batch["text"].iloc[k : k + 256].tolist())):
                     names.append(name)
                     docs_.append(ids)
                     size += len(ids) + 1
@@ -194,7 +194,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(sizes)
                 yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], "Int64"), "start": row.local_start + row.offset + ends - sizes, "n_tokens": sizes, "ids": [ids[e - s : e].tobytes() for s, e in zip(sizes, ends)]})
 
-    placed = shards.join(part_offsets(shards.select("part", "n_tokens"), "part", "n_tokens", "offset"), "part")
+    offsets = part_offsets(shards.select("part", "n_tokens"), "part", "n_tokens", "offset")
+    placed = shards.join(F.broadcast(offsets), "part")  # a row for each partition of the write
     return placed.select("local_start", "offset", "doc_ids", "doc_tokens", "payload").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
