@@ -65,6 +65,22 @@ def test_minhash_links_what_all_pairs_link(spark, monkeypatch, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("block", [16, 40])
+def test_minhash_groups_that_quote_a_crowded_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHORT", 3)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    text = lambda n: [word() for _ in range(n)]
+    passage = min((text(20) for _ in range(60)), key=lambda ws: minhash.shingles(" ".join(ws))[0])  # has the smallest value of its texts
+    groups = [text(100) for _ in range(6)]
+    texts = [passage + own[:k] + [word()] + own[k + 1 :] for own in groups for k in range(3, 99, 8)]
+    texts += [passage + text(100) for _ in range(20)]
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == [k // 12 * 12 if k < 72 else k for k in range(len(texts))]
+
+
 def test_minhash_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)

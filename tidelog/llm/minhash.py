@@ -107,8 +107,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, same binary, sketch binary"), "signatures")
 
 
-def _common(row: np.ndarray, col: np.ndarray, n: int, width: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many columns each two of n rows share, and how many of those before limit."""
+def _common(row: np.ndarray, col: np.ndarray, n: int, width: int, early: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many columns each two of n rows share, and how many of those by entries (row, col) that early marks."""
     common, before = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
     for a in range(0, width, 4096):
         b = min(a + 4096, width)
@@ -116,20 +116,26 @@ def _common(row: np.ndarray, col: np.ndarray, n: int, width: int, limit: int) ->
         has = np.zeros((n, b - a), np.float32)
         has[row[part], col[part] - a] = 1
         common += has @ has.T
-        if a < limit:
-            low = has[:, : limit - a]
+        part &= early
+        if part.any():
+            first, at = np.unique(col[part], return_inverse=True)
+            low = np.zeros((n, len(first)), np.float32)
+            low[row[part], at] = 1
             before += low @ low.T
     return common, before
 
 
-def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, at: np.uint64, apart: np.ndarray | None = None) -> np.ndarray:
-    """Pairs (i < j) of a list's members whose sketches have enough in common and no value before at.
+def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, absent: np.ndarray, at: np.uint64, apart: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (i < j) of a list's members whose sketches have enough in common and no value before at whose list holds both.
 
+    absent: for each member, bit k is set if the list of its k-th value leaves it out.
     apart: a matrix; only pairs that it marks count."""
     n, counts = len(sets), np.array([len(s) for s in sets])
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
     need = np.where(sizes > SKETCH, COMMON, -(-3 * counts // 4))  # a partner has at least so many of one's values
     alive = np.ones(n, bool)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    early = (values < at) & ((absent[owner] >> np.minimum(place, LISTED)) & 1 == 0)
     uniq, where = np.unique(values, return_inverse=True)
     for _ in range(2):  # values that nobody shares, then members with too few others
         times = np.bincount(where[alive[owner]], minlength=len(uniq))
@@ -142,7 +148,7 @@ def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, at: np.uint64, apart: n
     column = np.cumsum(times > 1) - 1
     used = alive[owner] & (times[where] > 1)
     row, col = (np.cumsum(alive) - 1)[owner[used]], column[where[used]]
-    common, before = _common(row, col, len(members), int((times > 1).sum()), int(np.searchsorted(uniq[times > 1], at)))
+    common, before = _common(row, col, len(members), int((times > 1).sum()), early[used])
     k, m = counts[members], sizes[members]
     whole = (m <= SKETCH)[:, None] & (m <= SKETCH)[None, :]
     enough = np.where(whole, 7 * common >= 3 * (k[:, None] + k[None, :]), common >= COMMON)
@@ -161,7 +167,7 @@ def _linked(sets: list[np.ndarray], apart: np.ndarray) -> np.ndarray:
     uniq, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     used = times[where] > 1
     column = np.cumsum(times > 1) - 1
-    common, _ = _common(owner[used], column[where[used]], n, int((times > 1).sum()), 0)
+    common, _ = _common(owner[used], column[where[used]], n, int((times > 1).sum()), np.zeros(int(used.sum()), bool))
     ok = np.triu(apart & (100 * common.astype(np.int64) >= SHARE * (size[:, None] + size[None, :] - common.astype(np.int64))), 1)
     i, j = np.nonzero(ok)
     return np.stack([i, j], 1)
@@ -233,14 +239,14 @@ def _numbers(column: pd.Series) -> list[np.ndarray]:
 
 
 def _trees(members: DataFrame) -> DataFrame:
-    """Pairs (a, b): of each list (v, id, n_shingles, sketch) a tree over what looks alike."""
+    """Pairs (a, b): of each list (v, id, n_shingles, sketch, absent) a tree over what looks alike."""
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
-        found = _overlaps(_numbers(group["sketch"]), group["n_shingles"].to_numpy(), np.int64(group["v"].iloc[0]).astype(np.uint64))
+        found = _overlaps(_numbers(group["sketch"]), group["n_shingles"].to_numpy(), group["absent"].to_numpy(), np.int64(group["v"].iloc[0]).astype(np.uint64))
         ids = group["id"].to_numpy()[_tree(found, len(group))]
         return pd.DataFrame({"a": ids.min(1), "b": ids.max(1)})
 
-    return _by_group(members.select("v", "id", "n_shingles", "sketch"), ["v"], tree, "a long, b long")
+    return _by_group(members.select("v", "id", "n_shingles", "sketch", "absent"), ["v"], tree, "a long, b long")
 
 
 def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -256,7 +262,7 @@ def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_o
     i, j = F.pmod(F.xxhash64("id"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nj")).cast("int")
     stored = some.select("v", "id", "label", F.lit(False).alias("asked"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     asked = some.where("other").select("v", "id", "label", F.lit(True).alias("asked"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), j.alias("j"))
-    dealt = stored.unionByName(asked).join(classes.select("id", "n_shingles", "sketch"), "id")
+    dealt = stored.unionByName(asked).join(classes.select("id", "n_shingles", "sketch", "absent"), "id")
 
     def marks(group: pd.DataFrame) -> np.ndarray:
         label, side = group["label"].to_numpy(), group["asked"].to_numpy()
@@ -266,7 +272,7 @@ def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_o
         if group["asked"].nunique() < 2:
             return group.iloc[:0][["v", "i", "j", "id", "label", "asked"]]
         sizes, sets = group["n_shingles"].to_numpy(), _numbers(group["sketch"])
-        found = _overlaps(sets, sizes, np.int64(group["v"].iloc[0]).astype(np.uint64), marks(group))
+        found = _overlaps(sets, sizes, group["absent"].to_numpy(), np.int64(group["v"].iloc[0]).astype(np.uint64), marks(group))
         return group.iloc[np.unique(found)][["v", "i", "j", "id", "label", "asked"]]
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +281,7 @@ def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_o
         return pd.DataFrame({"a": ids.min(1), "b": ids.max(1)})
 
     keys = ["v", "i", "j"]
-    needed = written(_by_group(dealt.select(*keys, "id", "label", "asked", "n_shingles", "sketch"), keys, possible, "v long, i int, j int, id long, label long, asked boolean"), "needed")
+    needed = written(_by_group(dealt.select(*keys, "id", "label", "asked", "n_shingles", "sketch", "absent"), keys, possible, "v long, i int, j int, id long, label long, asked boolean"), "needed")
     sets = sets_of(needed.select("id").distinct())
     return written(_by_group(needed.join(sets, "id").select(*keys, "id", "label", "asked", "shingles"), keys, links, "a long, b long").distinct(), "late-links")
 
@@ -350,21 +356,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def first_values(sketches: pd.Series) -> pd.Series:
         return sketches.map(lambda s: np.frombuffer(s, np.int64)[:LISTED])
 
-    index = classes.select("id", F.explode(first_values("sketch")).alias("v"))
+    index = classes.select("id", F.posexplode(first_values("sketch")).alias("place", "v"))
     often = index.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
     listed = written(index.join(often, "v"), "lists")
-    crowded = listed.where(F.col("n") > BLOCK).groupBy("id").agg(F.count("*").alias("hot"))
-    few = classes.join(crowded, "id").where(F.least(F.lit(LISTED), F.col("n_shingles")) - F.col("hot") < ENOUGH).select("id")
+    crowded = listed.where(F.col("n") > BLOCK).groupBy("id").agg(F.count("*").alias("hot"), F.sum(F.expr("shiftleft(1L, place)")).alias("places"))
+    few = F.least(F.lit(LISTED), F.col("n_shingles")) - F.col("hot") < ENOUGH
+    # of a crowded value's list, who is not in few is absent
+    placed = classes.join(crowded, "id", "left").select("id", "n_shingles", "sketch", F.when(~few, F.col("places")).otherwise(0).alias("absent"))
+    few = classes.join(crowded, "id").where(few).select("id")
     short = min(SHORT, BLOCK)
     middle = listed.where((F.col("n") > short) & (F.col("n") <= BLOCK)).select("v", "id")
     long = written(listed.where(F.col("n") > BLOCK).join(few, "id", "left_semi").select("v", "id"), "long-lists")
     star = long.join(long.groupBy("v").agg(F.min("id").alias("a")), "v").where("a != id").select("a", F.col("id").alias("b")).distinct()
     pairs = _possible(_short_pairs(listed.where(F.col("n") <= short)).unionByName(star).distinct(), classes)
-    trees = _trees(middle.join(classes.select("id", "n_shingles", "sketch"), "id"))
+    trees = _trees(middle.join(placed, "id"))
     first = written(pairs.unionByName(trees).distinct(), "pairs")
     repeats = full.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     linked = _verified(first, _sets(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), repeats))
-    late = _still_apart(middle.unionByName(long), components(linked), classes, lambda ids: _sets(docs, ids, repeats))
+    late = _still_apart(middle.unionByName(long), components(linked), placed, lambda ids: _sets(docs, ids, repeats))
     links = linked.unionByName(copies).unionByName(late)
     found = components(links)
     return signed.join(found, signed["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
