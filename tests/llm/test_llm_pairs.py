@@ -81,6 +81,20 @@ def test_minhash_groups_that_quote_a_crowded_passage(spark, monkeypatch, block):
     assert [got[k] for k in range(len(texts))] == [k // 12 * 12 if k < 72 else k for k in range(len(texts))]
 
 
+def test_minhash_small_sets_meet_larger_ones_in_a_list(spark):
+    rnd = random.Random(3)
+    text = lambda n: ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(n)]
+    shown = lambda ws: set(minhash.sketch(minhash.shingles(" ".join(ws))).tolist())
+    while True:  # a text of 64 shingles, and longer ones that begin with it and whose sketches together show less than 3/4 of it
+        own, tail = text(68), text(20)
+        longer = [own + tail[:-1] + text(1) for _ in range(30)]
+        if len(shown(own) & set().union(*map(shown, longer))) < 48:
+            break
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate([own, *longer])], "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted(r["n_shingles"] for r in got) == [64] + [84] * 30 and {r["component_id"] for r in got} == {0}
+
+
 def test_minhash_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)

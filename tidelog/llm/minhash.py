@@ -132,7 +132,7 @@ def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, absent: np.ndarray, at:
     apart: a matrix; only pairs that it marks count."""
     n, counts = len(sets), np.array([len(s) for s in sets])
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
-    need = np.where(sizes > SKETCH, COMMON, -(-3 * counts // 4))  # a partner has at least so many of one's values
+    need = np.minimum(COMMON, -(-3 * counts // 4))  # a partner's sketch has at least so many of one's values; that of a larger set shows only a part
     alive = np.ones(n, bool)
     place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
     early = (values < at) & ((absent[owner] >> np.minimum(place, LISTED)) & 1 == 0)
