@@ -176,6 +176,13 @@ def test_secret_columns_and_masks(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
 
+@pytest.mark.parametrize("text", ["pwd: kXqWzRtYpLmNbVcGhJ", "the password is kXqWzRtYpLmNbVcGhJ", "bearer: QmFzZUtleVdpdGhvdXREaWdpdHM", "pass phrase, passphrase: vR!kq-Zw?Lp$x"])
+def test_secrets_without_digits_count(text):
+    (span,) = secrets.find_secrets(text)
+    assert (span[0], span[1:3]) == ("guess", (text.rindex(" ") + 1, len(text)))
+    assert secrets.find_secrets("pwd: passwordpassword") == []
+
+
 def test_licences(spark):
     texts = ["Under the MIT license. under, the mit LICENSE!", "mit mit under the", "Apache License, Version 2.0", "CC-BY-NC and cc by nc cc by", None, "", "x " * 50 + "GNU General Public License", "ünder the mit license", "under the mit license" * 2]
     rows = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}

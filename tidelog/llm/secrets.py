@@ -119,7 +119,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float]]:
             if words is None:
                 words = frozenset(w for w in re.findall(r"[a-z]{3,24}", low[: m.start(1)] + " " + low[m.end(1) :]))
             cost = guess_cost(m[1], words)
-            if cost >= STRONG and re.search(r"\d", m[1]):
+            if cost >= STRONG:
                 spans.append(("guess", start, end, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
