@@ -183,6 +183,14 @@ def test_secrets_without_digits_count(text):
     assert secrets.find_secrets("pwd: passwordpassword") == []
 
 
+@pytest.mark.parametrize("text", ["password=hunter22$Qz!9vKp#Lm2wX", "pwd: Qz!9vKp#0123456789abcdef01234567$Lm2wX"])
+def test_values_that_reach_out_of_a_base_span_are_masked_whole(spark, text):
+    kinds = {s[0]: s[1:3] for s in secrets.find_secrets(text)}
+    assert len(kinds) == 2 and kinds["guess"] == (re.search(r"[=:] ?", text).end(), len(text))
+    docs = spark.createDataFrame([(1, f"so {text} then")], "doc_id long, text string")
+    assert secrets.masked(docs).first()["text"] in ("so [SECRET] then", "so pwd: [SECRET] then")
+
+
 def test_licences(spark):
     texts = ["Under the MIT license. under, the mit LICENSE!", "mit mit under the", "Apache License, Version 2.0", "CC-BY-NC and cc by nc cc by", None, "", "x " * 50 + "GNU General Public License", "ünder the mit license", "under the mit license" * 2]
     rows = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}

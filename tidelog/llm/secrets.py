@@ -100,7 +100,7 @@ def guess_cost(value: str, words: frozenset[str] = frozenset()) -> float:
 def find_secrets(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses) of all spans, by start, then kind. Starts and ends count code points.
 
-    Null and empty texts have none. A priced value that lies in a base span adds no span of its own."""
+    Null and empty texts have none. A priced value that lies wholly in a base span adds no span of its own; one that reaches out of it does, so spans may overlap."""
     if not text:
         return []
     low = text.lower()
@@ -114,7 +114,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float]]:
         base, words = list(spans), None
         for m in _CONTEXT.finditer(text):
             start, end = m.span(1)
-            if any(a < end and start < b for _, a, b, _ in base):
+            if any(a <= start and end <= b for _, a, b, _ in base):
                 continue
             if words is None:
                 words = frozenset(w for w in re.findall(r"[a-z]{3,24}", low[: m.start(1)] + " " + low[m.end(1) :]))
