@@ -66,6 +66,45 @@ def test_refused_requests_take_nothing(spark):
     assert (r["granted"], r["refused"], r["outstanding"]) == (3, 2, 2)
 
 
+def rows_at_once(frame):
+    """Whether the rows of a key are gathered as they are."""
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    return "collect_list" in plan and "MapInArrow" not in plan
+
+
+def test_folds_of_one_long_key_lie_in_many_tasks(spark):
+    import random
+
+    rnd = random.Random(4)
+    changes = [rnd.choice([1, 1, 1, -1, -1, None]) for _ in range(4000)]
+    sizes = [rnd.choice([0, 1, 64, 65, 300, 700, 1000, 1001, 1100]) for _ in range(4000)]
+    out = granted = refused = 0
+    for c in changes:
+        if c == 1:
+            out, granted, refused = (out + 1, granted + 1, refused) if out < 5 else (out, granted, refused + 1)
+        elif c == -1:
+            out = max(out - 1, 0)
+    used = chunks = big = 0
+    for n in sizes:
+        need = -(-n // 64) * 64
+        if n > 1000:
+            big += 1
+        elif chunks and used + need <= 1000:
+            used += need
+        else:
+            used, chunks = need, chunks + 1
+    rows = spark.createDataFrame([("one", k, c, n) for k, (c, n) in enumerate(zip(changes, sizes))] + [(None, 1, 1, 1001), ("two", 1, -1, None)], "g string, o int, change int, size long").repartition(3)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        taken, packed = tasks.admitted(rows, "g", "o", "change", 5), tasks.packed_buffers(rows, "g", "o", "size", 1000)
+        assert {tuple(r) for r in taken.collect()} == {("one", granted, refused, out), (None, 1, 0, 1), ("two", 0, 0, 0)}
+        assert {tuple(r) for r in packed.collect()} == {("one", chunks, used, big), (None, 0, 0, 1), ("two", 0, 0, 0)}
+        assert not rows_at_once(taken) and not rows_at_once(packed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_hash_vectors(spark):
     rows = spark.createDataFrame([("pricer", 343484808), ("risk", 4079720170), ("echo", 3567113348), ("", 2166136261)], "s string, want long")
     assert rows.where(S.fnv1a_32(F.col("s")) != F.col("want")).count() == 0

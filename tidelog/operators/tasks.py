@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,51 @@ def folded(events: DataFrame, key: str, order: str, event: str, step: Column | N
     return pairs.select(key, F.aggregate("_log", F.lit("QUEUED"), after).alias("state"), F.size("_log").cast("long").alias("n_events"))
 
 
+def _folded_in_chunks(rows: DataFrame, key: str, order: str, value: str, states: int, counts: int, after: Callable[[np.ndarray, object], tuple]) -> DataFrame:
+    """Per key: _state after its values in order, from state 0, and _counts on the way.
+
+    after: the next states of an array of states, and what each adds to the counts. Ranges of the rows
+    are folded from every state of 0 to states - 1, so a key's log may lie in many tasks; per key, one
+    array a task is left to join."""
+    dealt = rows.select(key, order, value).repartitionByRange(key, order, value).sortWithinPartitions(key, order, value).select(key, value)
+
+    def chunks(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, last, s, n = TaskContext.get().partitionId(), None, None, None
+
+        def out(kind: pa.DataType, done: list) -> pa.RecordBatch:
+            columns = [pa.array([k for k, _, _ in done], kind), pa.array([part] * len(done), pa.int32()), pa.array([s.tolist() for _, s, _ in done], pa.list_(pa.int64())), pa.array([n.tolist() for _, _, n in done], pa.list_(pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays(columns, ["_key", "_part", "_ends", "_adds"])
+
+        kind = None
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if s is None or k != last:
+                    if s is not None:
+                        done.append((last, s, n))
+                    last, s, n = k, np.arange(states), np.zeros((counts, states), np.int64)
+                s, *more = after(s, v)
+                for c, x in enumerate(more):
+                    n[c] += x
+            yield out(kind, done)
+        if s is not None:
+            yield out(kind, [(last, s, n)])
+
+    maps = dealt.mapInArrow(chunks, f"_key {rows.schema[key].dataType.simpleString()}, _part int, _ends array<long>, _adds array<array<long>>")
+    logs = maps.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_part", "_ends", "_adds"))).alias("_log"))
+    zero = F.struct(F.lit(0).cast("long").alias("state"), F.array_repeat(F.lit(0).cast("long"), counts).alias("counts"))
+
+    def joined(a: Column, e: Column) -> Column:
+        at = a["state"].cast("int")
+        return F.struct(F.get(e["_ends"], at).alias("state"), F.zip_with(a["counts"], e["_adds"], lambda c, x: c + F.get(x, at)).alias("counts"))
+
+    end = logs.select(F.col("_key").alias(key), F.aggregate("_log", zero, joined).alias("_end"))
+    return end.select(key, F.col("_end.state").alias("_state"), F.col("_end.counts").alias("_counts"))
+
+
 def first_claims(claims: DataFrame, task: list[str], order: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*task).orderBy(order))
     return claims.withColumn("won", rank == 1)
@@ -43,19 +91,17 @@ def admitted(requests: DataFrame, holder: str, order: str, change: str, limit: i
 
     change: +1 takes, -1 returns. A refused request takes nothing, so this is a fold in order and no
     running sum."""
-    log = requests.groupBy(holder).agg(F.sort_array(F.collect_list(F.struct(order, change))).alias("_log"))
-    zero = F.struct(F.lit(0).cast("long").alias("out"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("refused"))
 
-    def after(s: Column, e: Column) -> Column:
-        take, room = e[change] > 0, s["out"] < limit
-        return F.struct(
-            F.when(take & room, s["out"] + 1).when(~take & (s["out"] > 0), s["out"] - 1).otherwise(s["out"]).alias("out"),
-            (s["granted"] + F.when(take & room, 1).otherwise(0)).alias("granted"),
-            (s["refused"] + F.when(take & ~room, 1).otherwise(0)).alias("refused"),
-        )
+    def after(s: np.ndarray, change: int | None) -> tuple:
+        if change is None:
+            return s, 0, 0
+        if change > 0:
+            room = s < limit
+            return s + room, room, ~room
+        return np.maximum(s - 1, 0), 0, 0
 
-    done = log.withColumn("_end", F.aggregate("_log", zero, after))
-    return done.select(holder, F.col("_end.granted").alias("granted"), F.col("_end.refused").alias("refused"), F.col("_end.out").alias("outstanding"))
+    done = _folded_in_chunks(requests, holder, order, change, limit + 1, 2, after)
+    return done.select(holder, F.col("_counts")[0].alias("granted"), F.col("_counts")[1].alias("refused"), F.col("_state").alias("outstanding"))
 
 
 def exclusive_leases(attempts: DataFrame, key: str, order: list[str], at: Column, length: int) -> DataFrame:
@@ -72,13 +118,18 @@ def exclusive_leases(attempts: DataFrame, key: str, order: list[str], at: Column
 
 def packed_buffers(buffers: DataFrame, group: str, order: str, size: str, capacity: int, align: int = 64) -> DataFrame:
     """Next-fit: buffers in order, each aligned; a new chunk when one does not fit; larger ones than a chunk are refused."""
-    log = buffers.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("_log"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("chunks"), F.lit(0).cast("long").alias("refused"))
-
-    def after(s: Column, e: Column) -> Column:
-        need = (F.ceil(e[size] / align) * align).cast("long")
-        big, fits = e[size] > capacity, (s["chunks"] > 0) & (s["used"] + need <= capacity)
-        return F.struct(F.when(big, s["used"]).when(fits, s["used"] + need).otherwise(need).alias("used"), F.when(big | fits, s["chunks"]).otherwise(s["chunks"] + 1).alias("chunks"), (s["refused"] + big.cast("long")).alias("refused"))
-
-    done = log.withColumn("_end", F.aggregate("_log", zero, after))
-    return done.select(group, F.col("_end.chunks").alias("chunks"), F.col("_end.used").alias("last_used"), F.col("_end.refused").alias("refused"))
+    m = -(-capacity // align) + 2  # states: 0 not started, k + 1 with k units used; m more after a null size, which ends the counts
+
+    def after(s: np.ndarray, size: int | None) -> tuple:
+        lost = s >= m
+        if size is None:
+            return np.where(lost, s, s + m), 0, 0
+        if size > capacity:
+            return s, 0, ~lost
+        units = -(-size // align)
+        fits = (s > 0) & ((s - 1 + units) * align <= capacity)
+        return np.where(lost, m + units + 1, np.where(fits, s + units, units + 1)), ~fits & ~lost, 0
+
+    done = _folded_in_chunks(buffers, group, order, size, 2 * m, 2, after)
+    used = F.greatest(F.col("_state") % m - 1, F.lit(0)) * align
+    return done.select(group, F.col("_counts")[0].alias("chunks"), used.alias("last_used"), F.col("_counts")[1].alias("refused"))
