@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import freeing, table
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,10 +38,11 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: log10 of the guesses from which a value is a secret.
 STRONG = 9.0
 _RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 _PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 _PART = math.log10(2)
+#: Price of a sequence's first character and direction; of a walk's start, and of each of its steps.
+_SEQUENCE, _WALK, _STEP = math.log10(52), math.log10(40), math.log10(2.5)
 
 
 def _near(a: str, b: str) -> bool:
@@ -52,58 +54,92 @@ def _alphabet(c: str) -> float:
     return 10.0 if c.isdigit() else 26.0 if c.isalpha() and c.isascii() else 33.0 if c.isascii() else 100.0
 
 
-def guess_cost(value: str, words: frozenset[str] = frozenset()) -> float:
+def length_cost(n: int) -> float:
+    """log10 of the lengths that a guesser has tried by n, who tries them in ranges that double."""
+    return (n - 1).bit_length() * _PART
+
+
+class Run:
+    """The places from which a run of like steps goes on; the cheapest start for any end, whatever the run's length.
+
+    A range of lengths is a window of starts, whose least price stands at the head of a queue."""
+
+    def __init__(self, least: int):
+        self.least, self.begin, self.queues = least, 0, []
+
+    def end(self, j: int, goes_on: bool, best: list[float]) -> float:
+        """The least best[i] + length_cost(j - i) over runs from i to j of least steps or more; goes_on: the character before j belongs to the run before it."""
+        if not goes_on:
+            self.begin, self.queues = j - 1, []
+        out, start = math.inf, j - self.least
+        if start < self.begin:
+            return out
+        reach = max(1, (j - self.begin - 1).bit_length())
+        while len(self.queues) < reach + 1:
+            self.queues.append(deque(self.queues[-1] if self.queues else ()))
+        for k, queue in enumerate(self.queues):
+            while queue and best[queue[-1]] >= best[start]:
+                queue.pop()
+            queue.append(start)
+            while queue and j - queue[0] > 1 << k:
+                queue.popleft()
+            if queue:
+                out = min(out, best[queue[0]] + k * _PART)
+        return out
+
+
+def guess_cost(value: str, words: frozenset[str] = frozenset(), common: dict[str, int] = _RANK) -> float:
     """log10 of the guesses for value: the cheapest segmentation, by dynamic programming over its ends.
 
-    words: further words that a guesser has from the text around. Runs (repeats, sequences, keyboard
-    walks) are extended from each start, so a value of n characters takes about n times the longest
-    run's steps. An empty value costs 0."""
-    n, low = len(value), value.lower()
-    if len(low) != n:  # a letter whose lower case is longer
-        low = value
+    words: further words that a guesser has from the text around; common: words by rank, most usual
+    first. A segment may be any part of a run (repeat, sequence, keyboard walk), so all cuts are
+    compared; a value of n characters takes about n log n steps. An empty value costs 0."""
+    n, low = len(value), lowered(value)
     best = [0.0] + [math.inf] * n
-    longest = max(_LONGEST, max(map(len, words), default=0))
-    for i in range(n):
-        base = best[i] + _PART
-
-        def reach(j: int, cost: float) -> None:
-            best[j] = min(best[j], base + cost)
-
-        # brute force: one character at a time, without the price of a part
-        best[i + 1] = min(best[i + 1], best[i] + math.log10(_alphabet(value[i])))
-        for j in range(i + 2, min(n, i + longest) + 1):
-            word = low[i:j]
-            rank = _RANK.get(word) or (1000 if word in words else 0)
+    longest = max(max(map(len, common), default=0), max(map(len, words), default=0))
+    repeat, up, down = Run(3), Run(3), Run(3)
+    walk = math.inf  # the least best[i] - i * _STEP over the walk's starts so far
+    walk_from = 0
+    for j in range(1, n + 1):
+        c, before = value[j - 1], value[j - 2] if j > 1 else ""
+        size = math.log10(_alphabet(c))
+        best[j] = min(best[j], best[j - 1] + size)  # brute force: one character at a time, without the price of a part
+        step = ord(c) - ord(before) if before else 0
+        cost = repeat.end(j, c == before, best) + size
+        cost = min(cost, min(up.end(j, step == 1, best), down.end(j, step == -1, best)) + _SEQUENCE)
+        if not before or not _near(low[j - 2], low[j - 1]):
+            walk, walk_from = math.inf, j - 1
+        if j - 4 >= walk_from:
+            walk = min(walk, best[j - 4] - (j - 4) * _STEP)
+            cost = min(cost, walk + j * _STEP + _WALK)
+        best[j] = min(best[j], cost + _PART)
+        # words and dates that begin here
+        i, base = j - 1, best[j - 1] + _PART
+        for k in range(i + 2, min(n, i + longest) + 1):
+            word = low[i:k]
+            rank = common.get(word) or (1000 if word in words else 0)
             if rank:
-                reach(j, math.log10(rank + 1) + (0 if value[i:j] == word else math.log10(4)))
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            reach(m.end(), math.log10(40_000 if m.end() - i > 4 else 120))
-        j = i + 1  # one character again and again
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            reach(j, math.log10(_alphabet(value[i]) * (j - i)))
-        for step in (1, -1):  # abc, 321
-            j = i + 1
-            while j < n and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
-            if j - i >= 3:
-                reach(j, math.log10(52 * (j - i)))
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 4:
-            reach(j, math.log10(40) + (j - i) * math.log10(2.5))
+                best[k] = min(best[k], base + math.log10(rank + 1) + (0 if value[i:k] == word else math.log10(4)))
+        if c.isdigit():
+            for k in range(i + 4, min(n, i + 10) + 1):
+                if _DATE.fullmatch(value, i, k):
+                    best[k] = min(best[k], base + math.log10(40_000 if k - i > 4 else 120))
     return best[n]
 
 
+def lowered(text: str) -> str:
+    """text in lower case, as long as text: a letter whose lower case is longer stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses) of all spans, by start, then kind. Starts and ends count code points.
 
     Null and empty texts have none. A priced value that lies wholly in a base span adds no span of its own; one that reaches out of it does, so spans may overlap."""
     if not text:
         return []
-    low = text.lower()
+    low = lowered(text)
     spans: list[tuple[str, int, int, float]] = []
     if any(w in low for w in _ASSIGN_WORDS):
         spans += [("assign", m.start(), m.end(), guess_cost(m[2])) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -111,14 +147,14 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int, float]]:
         spans += [("access", m.start(), m.end(), guess_cost(m[0])) for m in _ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), guess_cost(m[0])) for m in _HEX.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
-        base, words = list(spans), None
-        for m in _CONTEXT.finditer(text):
-            start, end = m.span(1)
+        base, values = list(spans), [m.span(1) for m in _CONTEXT.finditer(text)]
+        cuts = [0, *(x for span in values for x in span), len(text)]
+        around = " ".join(low[a:b] for a, b in zip(cuts[::2], cuts[1::2]))  # what no value is part of
+        words = frozenset(re.findall(r"[a-z]{3,24}", around)) if values else frozenset()
+        for start, end in values:
             if any(a <= start and end <= b for _, a, b, _ in base):
                 continue
-            if words is None:
-                words = frozenset(w for w in re.findall(r"[a-z]{3,24}", low[: m.start(1)] + " " + low[m.end(1) :]))
-            cost = guess_cost(m[1], words)
+            cost = guess_cost(text[start:end], words)
             if cost >= STRONG:
                 spans.append(("guess", start, end, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -134,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in find_secrets(t)] for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(found, "doc_id long, spans array<struct<kind:string,start:long,end:long,log10_guesses:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(freeing(found), "doc_id long, spans array<struct<kind:string,start:long,end:long,log10_guesses:double>>")
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
