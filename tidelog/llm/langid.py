@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import freeing, table
 
 LENGTHS = (1, 2, 3, 4)
 #: n-grams are told apart by a hash of so many bits.
 HASH_BITS = 20
-#: The fit's bounds: labelled texts a language, and landmarks among them.
-FIT_TEXTS, LANDMARKS, RIDGE = 300, 40, 1e-2
+#: The fit's bounds: languages (those of most documents), labelled texts of each, characters of a text, and landmarks among them.
+LANGUAGES, FIT_TEXTS, FIT_CHARS, LANDMARKS, RIDGE = 100, 300, 100_000, 40, 1e-2
 #: Scores are a softmax of the regressions' values, times this.
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -53,18 +53,33 @@ class Model:
     weights: np.ndarray  # columns by languages
 
     def presence(self, texts: list[str]) -> np.ndarray:
+        return self.read(texts)[0]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the landmarks' n-grams each text has, and how many distinct n-grams it has in all, as a column."""
         n = len(self.weights)
         seen = np.zeros(len(texts) * n, bool)
+        ids, owners = [], []
         for owner, gram in grams(texts):
             col = self.column[gram]
             known = col >= 0
             seen[owner[known] * n + col[known]] = True
-        return seen.reshape(len(texts), n).astype(np.float32)
+            ids.append(gram)
+            owners.append(owner)
+        ids, owners = np.concatenate(ids), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        ids, cuts = ids[order], np.cumsum(np.bincount(owners, minlength=len(texts)))
+        mark, total = np.zeros(1 << HASH_BITS, bool), np.zeros((len(texts), 1), np.float32)
+        for k, (a, b) in enumerate(zip([0, *cuts.tolist()], cuts.tolist())):
+            mark[ids[a:b]] = True
+            total[k] = np.count_nonzero(mark)
+            mark[ids[a:b]] = False
+        return seen.reshape(len(texts), n).astype(np.float32), total
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The regressions' values, a row for each text."""
-        x = self.presence(texts)
-        return (x @ self.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        x, total = self.read(texts)
+        return (x @ self.weights) / np.sqrt(np.maximum(total, 1))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score of 0 to 1). Null texts, texts without a letter and an empty model: und, 0."""
@@ -94,9 +109,9 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     known = np.unique(np.concatenate([g for k in range(0, len(marks), 64) for _, g in grams([texts[m] for m in marks[k : k + 64]])]))
     column[known] = np.arange(len(known))
     empty = Model(names, column, np.zeros((len(known), len(names)), np.float32))
-    unit = lambda x: x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    z = unit(empty.presence([texts[m] for m in marks]))
-    k_nm = np.concatenate([unit(empty.presence(texts[k : k + 64])) @ z.T for k in range(0, len(texts), 64)]).astype(np.float64)
+    unit = lambda some: (lambda x, total: x / np.sqrt(np.maximum(total, 1)))(*empty.read(some))
+    z = unit([texts[m] for m in marks])
+    k_nm = np.concatenate([unit(texts[k : k + 64]) @ z.T for k in range(0, len(texts), 64)]).astype(np.float64)
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
@@ -112,12 +127,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = FIT_TEXTS) -> Model:
-    """Fitted on at most per_language rows of each language, those of the smallest hash of doc_id, not held out, with text and lang."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_language)
-    chosen = first.join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id") == F.col("_id")).select("lang", "_k", "text")
-    found = sorted((r["lang"], r["_k"], r["text"]) for r in chosen.where(F.col("text").isNotNull()).collect())
+def train(docs: DataFrame, per_language: int = FIT_TEXTS, languages: int = LANGUAGES) -> Model:
+    """Fitted on at most per_language rows of each language, those of the smallest hash of doc_id and text, not held out, with text and lang.
+
+    Rows that repeat a doc_id are rows of their own: each text is learnt with its own lang; equal rows
+    count as one. Texts of more than FIT_CHARS characters are not learnt, nor languages but those of
+    most rows (ties: by name)."""
+    text_hash = F.xxhash64("text").alias("text_hash")
+    usable = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS)
+    rows = docs.where(usable).select("doc_id", "lang", text_hash)
+    names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash")
+    first = rows.join(F.broadcast(names.select("lang")), "lang").withColumn("_k", F.dense_rank().over(order)).where(F.col("_k") <= per_language).distinct()
+    keys = first.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash"), "_k")
+    texts = docs.where(usable).select("doc_id", "lang", "text", text_hash)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash"))
+    chosen = texts.join(F.broadcast(keys), same).groupBy("lang", "_k").agg(F.min("text").alias("text"))  # per_language * languages rows at most
+    found = sorted((r["lang"], r["_k"], r["text"]) for r in chosen.collect())
     return fit([t for _, _, t in found], [lang for lang, _, _ in found])
 
 
@@ -144,7 +170,7 @@ def identify(docs: DataFrame, model: Model, batch_chars: int = 400_000) -> DataF
             found += m.predict(group)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(freeing(predict), "doc_id long, lang_pred string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A word's input is its own vector, if it is a known word, beside the mean of its character n-grams'
 vectors. The network reads windows of words in both directions; attention pools the states, and a
-document's score is that of its highest window. Windows overlap by half and cover the whole text.
+document's score is that of its highest window. Windows overlap by half and cover the whole text, so
+any passage of up to WINDOW - STRIDE + 1 words lies whole in one. Of a run of letters without a break,
+pieces of LONGEST_WORD characters that overlap count as words, so every n-gram of a text is read.
 Forward and backward passes are numpy; the fit runs on a bounded sample of labelled documents.
 """
 
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import free, freeing, table
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
@@ -26,16 +28,23 @@ HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 8, 8, 12, 8
 GRAM_BITS, GRAM_LENGTHS, LONGEST_WORD = 14, (3, 4, 5), 40
 #: The fit's bounds: documents of either label, windows of a clean document, known words; passes, and the least steps.
 FIT_TOXIC, FIT_CLEAN, FIT_WINDOWS, KNOWN_WORDS, EPOCHS, STEPS = 700, 2000, 4, 4000, 7, 300
+#: Longer texts are left out of the fit's sample. All are scored whole.
+FIT_CHARS = 100_000
 THRESHOLD, SEED = 0.7, 7
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The text's words in lower case; a longer one than LONGEST_WORD in pieces, each beginning with the last characters of the one before."""
+    words = WORD.findall(text.lower()) if text else []
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    step = LONGEST_WORD - max(GRAM_LENGTHS) + 1
+    return [w[k : k + LONGEST_WORD] for w in words for k in range(0, max(1, len(w) - LONGEST_WORD + step), step)]
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, word) index pairs of the words' character n-grams, with a mark before the first letter. Of a longer word the ends count."""
-    marked = ["\2" + (w if len(w) <= LONGEST_WORD else w[: LONGEST_WORD // 2] + w[-LONGEST_WORD // 2 :]) + "\3\0\0\0\0" for w in words]
+    """(n-gram, word) index pairs of the words' character n-grams, with a mark before the first letter."""
+    marked = ["\2" + w + "\3\0\0\0\0" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
     owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(m) for m in marked])
     code, valid = np.zeros(len(chars), np.uint32), np.ones(len(chars), bool)
@@ -290,11 +299,15 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> Network:
-    """Fitted on at most so many labelled documents, those of the smallest hash of doc_id, none of them held out. A document with both labels counts as toxic."""
+    """Fitted on at most so many labelled documents, those of the smallest hash of doc_id, none of them held out.
+
+    A document with both labels counts as toxic; of rows that repeat a doc_id, the text that sorts first
+    is read; texts of more than FIT_CHARS characters are not. Null texts count as empty."""
     rows = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     first = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, toxic).unionByName(first(0, clean))
-    found = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))  # at most toxic + clean rows
+    found = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))  # toxic + clean rows at most
+    found = found.where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
     sample = sorted((int(r["doc_id"]), int(r["y"]), r["text"] or "") for r in found.select("doc_id", "y", "text").collect())
     return fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
@@ -320,7 +333,7 @@ def score(docs: DataFrame, net: Network, batch_chars: int = 300_000) -> DataFram
             out.append(net.score(group))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.concatenate(out)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(freeing(scored), "doc_id long, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,6 +355,7 @@ def accepted(docs: DataFrame, net: Network, batch_chars: int = 300_000) -> DataF
                 out.append(net.score(group))
                 group, chars = [], 0
         out.append(net.score(group))
+        free()
         return pd.Series(np.concatenate(out))
 
     shared = docs.sparkSession.sparkContext.broadcast(net)
