@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalars as S
-from tidelog.operators import tasks, topics, versions
+from tidelog.operators import actors, folds, tasks, topics, versions
 
 
 def window_log(head, width):
@@ -119,3 +119,96 @@ def test_curve_is_flat_outside_and_linear_within(spark):
     rows = spark.createDataFrame([(0.1, 1.0), (1.0, 1.0), (1.5, 1.5), (2.0, 2.0), (9.0, 2.0)], "t double, want double")
     curve = F.expr("array(named_struct('tenor', 1.0D, 'rate', 1.0D), named_struct('tenor', 2.0D, 'rate', 2.0D))")
     assert rows.where(F.abs(S.interpolated(curve, F.col("t")) - F.col("want")) > 1e-12).count() == 0
+
+
+COMMITS = [(1, "Replace", 0), (2, "Append", 0), (3, "Append", 0), (4, "Window", 2), (5, "Append", 0), (6, "Window", 1), (7, "Window", 3), (8, "Replace", 0), (9, "Window", 5)]
+#: head: {since: (rows, from_version, truncated)}
+READS = {
+    3: {0: ([1, 2, 3], 1, False), 1: ([2, 3], 2, False), 2: ([3], 3, False), 3: ([], 3, False), 7: ([], None, False)},
+    4: {0: ([2, 3, 4], None, False), 1: ([2, 3, 4], 4, False), 2: ([3, 4], 4, False), 3: ([4], 4, False), 4: ([], None, False)},
+    5: {3: ([4, 5], 4, False), 4: ([5], 5, False)},
+    6: {3: ([5, 6], 6, True), 4: ([5, 6], 6, False)},
+    7: {4: ([5, 6, 7], None, False), 5: ([6, 7], None, False), 6: ([7], None, False)},
+    8: {7: ([8], 8, True)},
+    9: {7: ([8, 9], None, True), 8: ([9], None, False)},
+}
+
+
+def test_deltas_over_commits_of_all_kinds(spark):
+    states = versions.commit_states(spark.createDataFrame(COMMITS, "version long, kind string, keep int"), [])
+    held = {r["version"]: (r["low"], r["base"]) for r in states.collect()}
+    assert [held[v][1] for v in (4, 6, 7, 9)] == [1, 4, 4, 8]
+    assert [held[v][0] for v in (4, 6, 7, 9)] == [2, 5, 5, 8]
+    readers = spark.createDataFrame([(s, h) for h, reads in READS.items() for s in reads], "since long, head long")
+    got = {(r["head"], r["since"]): (list(range(r["first"], r["head"] + 1)), r["from_version"], r["truncated"]) for r in versions.mixed_reads(states, readers, []).collect()}
+    for head, reads in READS.items():
+        for since, (rows, begun, lost) in reads.items():
+            found = got[head, since]
+            assert found[0] == rows and found[2] == lost and begun in (None, found[1])
+
+
+def test_running_sums_cross_buckets(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(40)]), k, rnd.choice([None, 1, 2, 5])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "g string, o int, id int, n int")
+    got = {r["id"]: (r["s"], r["m"]) for r in folds.running(frame, ["g"], "o", {"s": F.col("n")}, ("id",), {"m": F.col("n")}, bucket_rows=7).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    for g in ("a", "b", None):
+        total, most = 0, None
+        for r in sorted((r for r in rows if r[0] == g), key=key):
+            total, most = total + (r[3] or 0), max([x for x in (most, r[3]) if x is not None], default=None)
+            assert got[r[2]] == (total, most)
+    assert folds.running(frame.limit(0), ["g"], "o", {"s": F.col("n")}).count() == 0
+    one = spark.createDataFrame([("a", 5, 1), ("a", 5, 2)], "g string, o int, id int")
+    assert sorted(r["k"] for r in folds.numbered(one, [], "o", "k", ("id",)).collect()) == [1, 2]
+
+
+def test_no_task_orders_a_whole_topic(spark):
+    frame = spark.range(4000).select(F.lit("one").alias("topic"), F.col("id"))
+    plan = folds.running(frame, ["topic"], "id", {"seq": F.lit(1)}, bucket_rows=100)
+    windows = [line for line in plan._jdf.queryExecution().analyzed().toString().splitlines() if line.strip(" :+-").startswith("Window")]
+    assert windows and all("_bucket" in line for line in windows)
+    assert plan.agg(F.max("seq"), F.countDistinct("seq")).first() == (4000, 4000)
+
+
+def test_shares_by_nearest_rank(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in [5, 1, 1, 1, 9]] + [("b", 2.0), ("b", None), (None, 3.0)], "g string, v double")
+    got = {r["g"]: (r["half"], r["all"]) for r in folds.at_share(rows, ["g"], "v", {"half": 0.5, "all": 1.0}).collect()}
+    assert got == {"a": (1.0, 9.0), "b": (2.0, 2.0), None: (3.0, 3.0)}
+
+
+def test_compare_and_set_names_versions(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("a", 4, 5), ("b", 1, 1), ("b", 2, 0)], "k string, o int, expect long")
+    got = sorted(tuple(r) for r in versions.put_if(rows, "k", ["o"], "expect", ["k", "o"]).collect())
+    assert got == [("a", 1, "created", 1), ("a", 2, "VersionMismatch", 1), ("a", 3, "installed", 2), ("a", 4, "VersionMismatch", 2), ("b", 1, "VersionMismatch", 0), ("b", 2, "created", 1)]
+
+
+def test_frames_and_lines(spark):
+    rows = spark.createDataFrame([(1, "e", bytearray(b"one\ntwo")), (2, "", bytearray(b"")), (3, "e", bytearray(b"\xff\x00")), (4, None, bytearray(b'q"\\\t\x02'))], "seq long, event string, data binary")
+    f = {r["seq"]: r["f"] for r in rows.select("seq", topics.sse_frame(F.col("seq"), F.col("event"), F.col("data")).alias("f")).collect()}
+    assert f == {1: "id: 1\nevent: e\ndata: one\ndata: two\n\n", 2: "id: 2\ndata: \n\n", 3: "id: 3\nevent: e\n:b64\ndata: /wA=\n\n", 4: 'id: 4\ndata: q"\\\t\x02\n\n'}
+    line = topics.json_line(F.col("seq"), F.lit(7), F.coalesce("event", F.lit("")), F.lit("text/plain"), F.col("data"))
+    found = {r["seq"]: r["f"] for r in rows.select("seq", line.alias("f")).collect()}
+    assert found[4] == '{"seq":4,"ts_ms":7,"event":"","content_type":"text/plain","data":"q\\"\\\\\\t\\u0002"}\n'
+    assert found[3] == '{"seq":3,"ts_ms":7,"event":"e","content_type":"text/plain","data_b64":"/wA="}\n'
+
+
+def test_maps_and_variants_are_refused_at_any_depth(spark):
+    schema = spark.sql("SELECT 1 AS a, map(1, 2) AS b, array(named_struct('x', map(1, 2))) AS c, array(1) AS d, parse_json('1') AS e, named_struct('y', array('z')) AS f").schema
+    assert [S.admitted_type(c.dataType) for c in schema] == [True, False, False, True, False, True]
+
+
+def test_handlers_tell_one_another(spark):
+    def first(state, at, kind, body):
+        return (state[0] + 1,), [("tell", "second", f"{body}{state[0]}")]
+
+    def second(state, at, kind, body):
+        return (state[0] + body,), [("publish", "t", state[0] + body), ("tell", "third", "x")] if len(state[0]) < 3 else []
+
+    handlers = {"first": actors.Handler((0,), first), "second": actors.Handler(("",), second, accepts=("tell",))}
+    rows = spark.createDataFrame([("first", 1, 1, "m", "a"), ("first", 1, 2, "m", "b"), ("first", 2, 1, "m", "c"), ("second", 1, 9, "m", "no"), ("fourth", 1, 1, "m", "d")], "actor string, key long, at long, kind string, body string")
+    got = sorted((r["actor"], r["key"], r["at"], r["effect"], r["target"] or "", r["body"]) for r in actors.host(rows, handlers).collect())
+    assert [g for g in got if g[3] == "publish"] == [("second", 1, 1, "publish", "t", "a0"), ("second", 1, 2, "publish", "t", "a0b1"), ("second", 2, 1, "publish", "t", "c0")]
+    assert {g[0] for g in got if g[3] == "unknown"} == {"third", "fourth"} and [g[:3] for g in got if g[3] == "refused"] == [("second", 1, 9)]

@@ -28,8 +28,18 @@ def test_query_equals_its_sql(spark, small, duck, name):
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, rtol=1e-9)
 
 
-def test_entry_imports_without_the_other_folder():
+def test_entry_imports_without_the_other_folder(monkeypatch):
+    import importlib
+    import sys
+
     import __spark_entry__ as entry
 
-    assert set(plans.QUERIES) <= set(entry.queries())
-    assert set(plans.ORACLE_SQL) <= set(entry.oracle_sql())
+    names = [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tidelog.llm")]
+    with monkeypatch.context() as away:
+        for name in {*names, "corpus_pipeline", "tidelog.llm", "tidelog.llm.queries"}:
+            away.setitem(sys.modules, name, None)  # importing it fails
+        if hasattr(sys.modules["tidelog"], "llm"):
+            away.delattr(sys.modules["tidelog"], "llm")
+        alone = importlib.reload(entry)
+        assert set(alone.queries()) == set(plans.QUERIES) and set(alone.oracle_sql()) == set(plans.ORACLE_SQL)
+    importlib.reload(entry)

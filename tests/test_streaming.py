@@ -43,3 +43,36 @@ def test_counters_and_windows(spark, small, tmp_path):
     counts = result(spark, live.windowed_counts(stream, "ts", "user_id"), "counts", "update")
     assert counts.agg(F.sum("n")).first()[0] == events.count()
     assert result(spark, live.first_seen(stream, "event_id", "ts"), "firsts", "append").count() == events.count()
+
+
+def test_subscriptions_begin_where_they_are_asked_to(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for version in (1, 2, 3):
+        spark.range(version * 10, version * 10 + 5).write.parquet(f"{out}/version={version}")
+    schema = spark.range(1).schema
+    for since, want in (("earliest", {1, 2, 3}), (1, {2, 3}), ("live", set())):
+        got = result(spark, live.subscribe(spark, out, schema, since), f"sub_{since}", "append")
+        assert {r["version"] for r in got.collect()} == want and got.count() == 5 * len(want)
+
+
+def test_claims_run_out_by_event_time(spark, tmp_path):
+    path = str(tmp_path / "e")
+    rows = lambda *events: spark.createDataFrame(list(events), "task string, minute int, what string").select("task", (F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("minute"))).alias("at"), "what").coalesce(1)
+    batches = [
+        rows(("a", 0, "claim"), ("b", 0, "claim"), ("c", 0, "claim"), ("c", 1, "fail")),
+        rows(("b", 10, "complete"), ("z", 30, "claim")),
+        rows(("z", 60, "claim"), ("a", 61, "claim")),
+        rows(("a", 62, "complete"), ("z", 90, "claim"), ("y", 120, "claim")),
+        rows(("y", 300, "complete")),
+    ]
+    mark, last = str(tmp_path / "mark"), {}
+    for k, batch in enumerate(batches):
+        batch.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(batch.schema).parquet(path)
+
+        def keep(frame, number):
+            last.update({r["task"]: (r["state"], r["attempts"]) for r in frame.collect()})
+
+        live.leases(stream, "task", "at", "what", "20 minutes", retries=1).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination(120)
+    assert last["a"] == ("DONE", 2) and last["b"] == ("DONE", 1) and last["c"] == ("FAILED", 1)
+    assert last["z"][0] in ("QUEUED", "FAILED") and last["z"][1] == 2

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Fixed values of the 32-bit FNV-1a hash.
 FNV32_START, FNV32_PRIME = 2166136261, 16777619
@@ -103,3 +104,12 @@ def manifest_length(chunks: Column, batches: Column, kept: Column) -> Column:
 
 def segments_per_manifest(capacity: Column) -> Column:
     return F.greatest(F.floor((capacity - 64) / 28), F.lit(0)).cast("long")
+
+
+def admitted_type(kind: DataType) -> bool:
+    """Whether a store takes columns of a type: maps and variants are refused, at any depth."""
+    if isinstance(kind, (MapType, VariantType)):
+        return False
+    if isinstance(kind, ArrayType):
+        return admitted_type(kind.elementType)
+    return all(admitted_type(f.dataType) for f in kind) if isinstance(kind, StructType) else True

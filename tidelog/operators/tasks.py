@@ -8,27 +8,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TERMINAL = ("DONE", "FAILED", "CANCELLED")
+from tidelog.operators.folds import folded_rows
 
+#: Fixed rules: claims need a queued task, ends a claimed one; a lapse puts a claimed task back.
+MOVES = {("QUEUED", "claim"): "CLAIMED", ("CLAIMED", "complete"): "DONE", ("CLAIMED", "fail"): "FAILED", ("QUEUED", "cancel"): "CANCELLED", ("CLAIMED", "lapse"): "QUEUED"}
 
-def folded(events: DataFrame, key: str, order: str, event: str, step: Column | None = None) -> DataFrame:
-    """The state of each task after its events in order. Terminal states stay; claims need a queued
-    task, ends a claimed one; a lapse puts a claimed task back."""
-    pairs = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, event))).alias("_log"))
 
-    def after(state: Column, e: Column) -> Column:
-        what = e[event]
-        return (
-            F.when(state.isin(*TERMINAL), state)
-            .when((what == "claim") & (state == "QUEUED"), "CLAIMED")
-            .when((what == "complete") & (state == "CLAIMED"), "DONE")
-            .when((what == "fail") & (state == "CLAIMED"), "FAILED")
-            .when((what == "cancel") & (state == "QUEUED"), "CANCELLED")
-            .when((what == "lapse") & (state == "CLAIMED"), "QUEUED")
-            .otherwise(state)
-        )
+def folded(events: DataFrame, key: str, order: str, event: str) -> DataFrame:
+    """The state of each task after its events in order, and how many there were. Terminal states stay."""
 
-    return pairs.select(key, F.aggregate("_log", F.lit("QUEUED"), after).alias("state"), F.size("_log").cast("long").alias("n_events"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        now = (MOVES.get((state[0], row[2]), state[0]), state[1] + 1)
+        return now, (row[0], *now)
+
+    kind = dict(events.dtypes)[key]
+    each = folded_rows(events.select(key, order, event), key, [order], ("QUEUED", 0), step, f"{key} {kind}, state string, n_events long")
+    last = each.groupBy(key).agg(F.max_by("state", "n_events").alias("state"), F.max("n_events").alias("n_events"))
+    return last
 
 
 def _folded_in_chunks(rows: DataFrame, key: str, order: str, value: str, states: int, counts: int, after: Callable[[np.ndarray, object], tuple]) -> DataFrame:
@@ -106,14 +102,24 @@ def admitted(requests: DataFrame, holder: str, order: str, change: str, limit: i
 
 def exclusive_leases(attempts: DataFrame, key: str, order: list[str], at: Column, length: int) -> DataFrame:
     """Per key: leases granted, and attempts refused while one was held. at: seconds."""
-    log = attempts.withColumn("_at", at).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", *order))).alias("_log"))
-    zero = F.struct(F.lit(-1).cast("long").alias("until"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("locked"))
 
-    def after(s: Column, e: Column) -> Column:
-        free = e["_at"] >= s["until"]
-        return F.struct(F.when(free, e["_at"] + length).otherwise(s["until"]).alias("until"), (s["granted"] + free.cast("long")).alias("granted"), (s["locked"] + (~free).cast("long")).alias("locked"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        until, granted, locked = state
+        free = row[1] >= until
+        now = (row[1] + length if free else until, granted + free, locked + (not free))
+        return now, (row[0], now[1], now[2])
+
+    kind = dict(attempts.dtypes)[key]
+    each = folded_rows(attempts.select(key, at.alias("_at"), *order), key, ["_at", *order], (-1, 0, 0), step, f"{key} {kind}, granted long, write_locked long")
+    return each.groupBy(key).agg(F.max("granted").alias("granted"), F.max("write_locked").alias("write_locked"))
 
-    return log.withColumn("_end", F.aggregate("_log", zero, after)).select(key, F.col("_end.granted").alias("granted"), F.col("_end.locked").alias("write_locked"))
+
+def bindings(claims: DataFrame, claimed: str, acked: str, now: str, runnable: Column, lease_days: int, grace_days: int) -> DataFrame:
+    """claims with binding: released if acknowledged within the lease; reaped if past it and the grace and not runnable; else held."""
+    days = lambda n: F.make_dt_interval(F.lit(n))
+    deadline = F.col(claimed) + days(lease_days)
+    late = (F.col(now) > F.col(claimed) + days(lease_days + grace_days)) & ~runnable
+    return claims.withColumn("binding", F.when(F.col(acked) <= deadline, "released").when(late, "reaped").otherwise("held"))
 
 
 def packed_buffers(buffers: DataFrame, group: str, order: str, size: str, capacity: int, align: int = 64) -> DataFrame:
@@ -133,3 +139,22 @@ def packed_buffers(buffers: DataFrame, group: str, order: str, size: str, capaci
     done = _folded_in_chunks(buffers, group, order, size, 2 * m, 2, after)
     used = F.greatest(F.col("_state") % m - 1, F.lit(0)) * align
     return done.select(group, F.col("_counts")[0].alias("chunks"), used.alias("last_used"), F.col("_counts")[1].alias("refused"))
+
+
+def client_reports(asks: DataFrame, client: list[str], incarnation: str, order: str, replied: Column, failed: Column, again: Column) -> DataFrame:
+    """A row for each client and incarnation: asks, replies, errors, replies that came again, lost, the first reply, and the place by it."""
+    reply = F.when(replied, F.col(order))
+    per = asks.groupBy(*client, incarnation).agg(F.count("*").alias("asks"), F.count_if(replied).alias("replies"), F.count_if(failed).alias("errors"), F.count_if(replied & again).alias("redelivered"), F.min(reply).alias("first_reply"))
+    lost = F.greatest(F.col("asks") - F.col("replies") - F.col("errors"), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*client).orderBy(F.col("first_reply").asc_nulls_last(), incarnation))  # a row for each incarnation
+    return per.withColumn("lost", lost).withColumn("place", place.cast("long"))
+
+
+def reap_report(claims: DataFrame, task: str, at: str, ties: list[str], lease_days: int, retries: int = 3) -> DataFrame:
+    """requeued, failed, tasks: a claim lapses if its task's next one, or the end of time, comes after its lease; retries are bounded."""
+    following = F.lead(at).over(Window.partitionBy(task).orderBy(at, *ties))
+    now = claims.agg(F.max(at).alias("_now"))
+    each = claims.withColumn("_next", following).crossJoin(F.broadcast(now))  # one row
+    lapsed = F.coalesce("_next", "_now") > F.col(at) + F.make_dt_interval(F.lit(lease_days))
+    per = each.groupBy(task).agg(F.count_if(lapsed).alias("lapses"))
+    return per.agg(F.sum(F.least("lapses", F.lit(retries))).cast("long").alias("requeued"), F.count_if(F.col("lapses") > retries).alias("failed"), F.count("*").alias("tasks"))

@@ -11,6 +11,7 @@ from tidelog.functions import scalars as S
 from tidelog.operators import tasks as TK
 from tidelog.operators import topics as TP
 from tidelog.operators import versions as V
+from tidelog.operators.folds import at_share, numbered
 from tidelog.sources.tables import table
 
 BATCH, K, SINCE, HEAD = 100, 8, 20, 60
@@ -111,10 +112,16 @@ def evict_current_empty(spark, sf):
     return sizes.select("version", F.when(evicted, 0).otherwise(F.col("n")).cast("long").alias("n_rows"), F.when(evicted, "VersionGone").otherwise("OK").alias("status"))
 
 
-@query("SELECT event_id, event_id // 3 AS expect, CASE WHEN event_id % 3 = 0 THEN 'installed' ELSE 'conflict' END AS status, event_id // 3 + (event_id % 3 > 0)::BIGINT AS actual FROM events")
+CAS_SQL = """WITH RECURSIVE a AS (SELECT {0} AS k0, {1} AS id, row_number() OVER (PARTITION BY {0} ORDER BY {2}) AS k FROM {3}), e AS (SELECT *, {4} AS expect FROM a),
+w AS (SELECT k0, id, k, expect, 0::BIGINT AS before FROM e WHERE k = 1 UNION ALL SELECT e.k0, e.id, e.k, e.expect, w.before + (w.expect = w.before)::BIGINT FROM w JOIN e ON e.k0 = w.k0 AND e.k = w.k + 1)
+SELECT k0 AS {0}, id AS {1}, expect, CASE WHEN expect != before THEN 'VersionMismatch' WHEN before = 0 THEN 'created' ELSE 'installed' END AS status, before + (expect = before)::BIGINT AS actual FROM w"""
+
+
+@query(CAS_SQL.format("user_id", "event_id", "event_id", "events", "(k * 3) // 4"))
 def optimistic_conflict(spark, sf):
-    attempts = table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 3).alias("expect"))
-    return V.first_wins(attempts, "expect", "event_id")
+    """Optimistic commits: each names the version that it expects; who finds another one conflicts."""
+    attempts = numbered(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id", "k").withColumn("expect", F.floor(F.col("k") * 3 / 4))
+    return V.put_if(attempts, "user_id", ["event_id"], "expect", ["user_id", "event_id", "expect"])
 
 
 @query(
@@ -162,20 +169,21 @@ def catalog_live(spark, sf):
 
 
 @query(
-    """SELECT l_partkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'NotFound' WHEN l_linenumber % 7 != 1 THEN 'VersionMismatch' ELSE 'OK' END AS status, count(*) AS n
-FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON p_partkey = l_partkey GROUP BY ALL"""
+    """SELECT l_partkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'NotFound' WHEN l_linenumber != version THEN 'VersionMismatch' ELSE 'OK' END AS status, count(*) AS n
+FROM lineitem LEFT JOIN (SELECT p_partkey, p_size % 7 + 1 AS version FROM part WHERE p_size <= 25) ON p_partkey = l_partkey GROUP BY ALL"""
 )
 def typed_ref_resolve(spark, sf):
-    live = table(spark, sf, "part").where("p_size <= 25").select("p_partkey")
+    """References name a part and the version that they mean; live parts have their current one."""
+    live = table(spark, sf, "part").where("p_size <= 25").select("p_partkey", (F.col("p_size") % 7 + 1).alias("version"))
     refs = table(spark, sf, "lineitem").select("l_partkey", "l_linenumber").join(live, F.col("l_partkey") == F.col("p_partkey"), "left")
-    status = F.when(F.col("p_partkey").isNull(), "NotFound").when(F.col("l_linenumber") % 7 != 1, "VersionMismatch").otherwise("OK")
+    status = F.when(F.col("p_partkey").isNull(), "NotFound").when(F.col("l_linenumber") != F.col("version"), "VersionMismatch").otherwise("OK")
     return refs.groupBy("l_partkey", "l_linenumber", status.alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version, length(text) AS size FROM documents")
 def object_versions(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("size"))
-    return V.number_per_key(docs, "source", ["doc_id"])
+    return numbered(docs, ["source"], "doc_id", "version")
 
 
 @query("SELECT page_id, i AS segment, length(substr(html, i * 4096 + 1, 4096)) AS size, md5(substr(html, i * 4096 + 1, 4096)) AS digest FROM (SELECT page_id, html, unnest(range(0, greatest(1, (length(html) + 4095) // 4096))) AS i FROM pages)")
@@ -185,7 +193,10 @@ def object_segments(spark, sf):
     return pages.select("page_id", "segment", F.length(part).cast("long").alias("size"), F.md5(part).alias("digest"))
 
 
-@query("SELECT page_id, greatest(1, (length(html) + 4095) // 4096) AS n_segments, length(html) AS size, true AS equal FROM pages")
+@query(
+    """WITH s AS (SELECT page_id, html, list_transform(range(0, greatest(1, (length(html) + 4095) // 4096)), lambda i: substr(html, i * 4096 + 1, 4096)) AS parts FROM pages)
+SELECT page_id, len(parts)::BIGINT AS n_segments, list_sum(list_transform(parts, lambda p: length(p)))::BIGINT AS size, array_to_string(parts, '') = html AS equal FROM s"""
+)
 def object_roundtrip(spark, sf):
     """Cut and put together again."""
     pages = table(spark, sf, "pages").select("page_id", "html", F.sequence(F.lit(0), F.greatest(F.ceil(F.length("html") / 4096), F.lit(1)).cast("int") - 1).alias("_k"))
@@ -201,12 +212,12 @@ def object_status(spark, sf):
     return known.select("c_custkey", F.when(F.col("n").isNull(), 404).when(F.col("open") == 0, 410).otherwise(200).alias("status"))
 
 
-@query("SELECT o_custkey, o_orderkey, CASE WHEN k = 1 THEN 'created' WHEN o_orderkey % 2 = 0 THEN 'installed' ELSE 'VersionMismatch' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)")
+@query(CAS_SQL.format("o_custkey", "o_orderkey", "o_orderdate, o_orderkey", "orders", "((k - 1) * 2) // 3 + (id % 5 = 0)::BIGINT"))
 def object_put_if(spark, sf):
-    """Compare and set: the first put creates; later ones name the current version if their key is even."""
-    numbered = V.number_per_key(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"])
-    status = F.when(F.col("version") == 1, "created").when(F.col("o_orderkey") % 2 == 0, "installed").otherwise("VersionMismatch")
-    return numbered.select("o_custkey", "o_orderkey", status.alias("status"))
+    """Compare and set: a put names the version that it expects, 0 to create."""
+    puts = V.number_per_key(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"], "k")
+    expect = F.floor((F.col("k") - 1) * 2 / 3) + (F.col("o_orderkey") % 5 == 0).cast("long")
+    return V.put_if(puts.withColumn("expect", expect), "o_custkey", ["o_orderdate", "o_orderkey"], "expect", ["o_custkey", "o_orderkey", "expect"])
 
 
 # Rings and topics
@@ -260,23 +271,42 @@ def topic_head(spark, sf):
 row_number() OVER (PARTITION BY event_type ORDER BY seq) AS n FROM {SEQ} WHERE seq > 10) WHERE before < 4096 AND n <= 1024"""
 )
 def topic_longpoll(spark, sf):
-    fresh = TP.sequenced(table(spark, sf, "events").select("event_id", "event_type", "props"), "event_type", "event_id").where("seq > 10")
-    sent = TP.within_budget(fresh, "event_type", F.length("props"), 4096, 1024)
+    messages = TP.sequenced(table(spark, sf, "events").select("event_id", "event_type", "props"), "event_type", "event_id")
+    sent = TP.within_budget(messages, "event_type", F.length("props"), 4096, 1024, after=10)
     return sent.select("event_type", "seq", F.col("_before").alias("before"))
 
 
-@query(f"SELECT event_type, seq, 'id: ' || seq || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM {SEQ} WHERE seq <= 100")
+#: Messages with some lines more, some bytes that are not UTF-8, some without a name.
+MESSAGE = """(SELECT event_type, seq, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type END AS event, 'text/plain; q="' || user_id || '"' AS content_type,
+CASE WHEN event_id % 7 = 0 THEN props || chr(10) || 'more' || chr(9) || chr(92) || chr(1) ELSE props END AS body, event_id % 10 = 3 AS raw FROM {0})"""
+
+
+def _messages(spark, sf):
+    m = TP.sequenced(table(spark, sf, "events").select("event_id", "event_type", "user_id", "ts", "props"), "event_type", "event_id")
+    body = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("\nmore\t\\\x01"))).otherwise(F.col("props")).cast("binary")
+    data = F.when(F.col("event_id") % 10 == 3, F.concat(F.unhex(F.lit("FF")), body)).otherwise(body)
+    event = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type"))
+    return m.select("event_type", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), event.alias("event"), F.concat(F.lit('text/plain; q="'), "user_id", F.lit('"')).alias("content_type"), data.alias("data"))
+
+
+@query(
+    f"""SELECT event_type, seq, 'id: ' || seq || chr(10) || CASE WHEN event != '' THEN 'event: ' || event || chr(10) ELSE '' END || CASE WHEN raw THEN ':b64' || chr(10) || 'data: ' || to_base64('\\xFF'::BLOB || encode(body)) || chr(10)
+ELSE 'data: ' || replace(body, chr(10), chr(10) || 'data: ') || chr(10) END || chr(10) AS frame FROM {MESSAGE.format(SEQ)}"""
+)
 def topic_sse(spark, sf):
-    first = TP.sequenced(table(spark, sf, "events").select("event_id", "event_type", "props"), "event_type", "event_id").where("seq <= 100")
-    return first.select("event_type", "seq", F.concat(F.lit("id: "), F.col("seq"), F.lit("\nevent: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n\n")).alias("frame"))
+    return _messages(spark, sf).select("event_type", "seq", TP.sse_frame(F.col("seq"), F.col("event"), F.col("data")).alias("frame"))
 
 
-@query(f"SELECT seq, event_type, event_id FROM {SEQ} WHERE event_type = 'click'")
+ESCAPED = """replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(1), chr(92) || 'u0001')"""
+
+
+@query(
+    f"""SELECT event_type, seq, '{{"seq":' || seq || ',"ts_ms":' || ts_ms || ',"event":"' || event || '","content_type":"' || {ESCAPED.format("content_type")} || '",' || CASE WHEN raw THEN '"data_b64":"' || to_base64('\\xFF'::BLOB || encode(body)) ELSE '"data":"' || {ESCAPED.format("body")} END || '"}}' || chr(10) AS line
+FROM {MESSAGE.format(SEQ)}"""
+)
 def topic_ndjson(spark, sf):
-    """Written as a JSON line and parsed again."""
-    lines = TP.sequenced(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id").where("event_type = 'click'").select(F.to_json(F.struct("seq", "event_type", "event_id")).alias("line"))
-    back = F.from_json("line", "seq long, event_type string, event_id long")
-    return lines.select(back.alias("m")).select("m.seq", "m.event_type", "m.event_id")
+    line = TP.json_line(F.col("seq"), F.col("ts_ms"), F.col("event"), F.col("content_type"), F.col("data"))
+    return _messages(spark, sf).select("event_type", "seq", line.alias("line"))
 
 
 @query("WITH c AS (SELECT event_type, user_id, min(event_id) AS cursor FROM events GROUP BY ALL) SELECT event_type, user_id, cursor, min(cursor) OVER (PARTITION BY event_type) AS read_from FROM c")
@@ -302,11 +332,15 @@ def name_validation(spark, sf):
     return names.select("page_id", S.is_topic_name(n).alias("topic"), S.is_event_name(n).alias("event"), S.is_object_key(n).alias("key"), S.is_content_type(n).alias("content"))
 
 
-@query("SELECT user_id, list_reduce(list_prepend(0::BIGINT, list(event_id % 4 ORDER BY event_id)), lambda a, b: CASE WHEN a + 1 = b THEN b ELSE a END)::BIGINT AS last, count(*) AS n FROM events GROUP BY user_id")
+@query(ORACLE_SQL["window_live_rows"])
 def window_from_log_fold(spark, sf):
-    """An ordered fold over each key's log: entries count only when they name the version that follows."""
-    logs = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("event_id") % 4).alias("v")))).alias("log"), F.count("*").alias("n"))
-    return logs.select("user_id", F.aggregate("log", F.lit(0).cast("long"), lambda a, e: F.when(a + 1 == e["v"], e["v"]).otherwise(a)).alias("last"), "n")
+    """What window_live_rows has in closed form, from the kinds of the commits."""
+    totals = V.running_totals(log(spark, sf), "event_id").select("version", "rows_to")
+    kinds = totals.select("version", V.window_kind(F.col("version"), K).alias("kind"), F.lit(K).alias("keep"))
+    first = kinds.withColumn("kind", F.when(F.col("version") == 1, "Replace").otherwise(F.col("kind")))
+    heads = V.commit_states(first, []).select(F.col("version").alias("head"), F.col("low").alias("oldest")).join(totals.withColumnRenamed("version", "head"), "head")
+    before = totals.select((F.col("version") + 1).alias("oldest"), F.col("rows_to").alias("gone"))
+    return heads.join(before, "oldest", "left").select("head", "oldest", (F.col("rows_to") - F.coalesce("gone", F.lit(0))).alias("n_rows"))
 
 
 # Tasks
@@ -350,11 +384,16 @@ def task_cancel(spark, sf):
     return times.select("task", F.when(F.col("c") < F.coalesce("k", F.lit(9e18)), "CANCELLED").when(F.col("c").isNotNull(), "flagged").otherwise("none").alias("outcome"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'released' WHEN o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus != 'O' THEN 'reaped' ELSE 'held' END AS binding FROM orders")
+@query(
+    """WITH w AS (SELECT l_orderkey, max(l_shipdate) AS acked FROM lineitem WHERE l_returnflag != 'R' GROUP BY 1), n AS (SELECT max(o_orderdate) AS now FROM orders)
+SELECT o_orderkey, CASE WHEN acked <= o_orderdate + INTERVAL 60 DAY THEN 'released' WHEN now > o_orderdate + INTERVAL 90 DAY AND o_orderstatus != 'O' THEN 'reaped' ELSE 'held' END AS binding FROM orders LEFT JOIN w ON l_orderkey = o_orderkey, n"""
+)
 def task_bindings(spark, sf):
-    """Acknowledged bindings are released; those past deadline and grace, and not runnable, are reaped."""
-    late = (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") != "O")
-    return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "released").when(late, "reaped").otherwise("held").alias("binding"))
+    """A claim has a lease of 60 days. Acknowledged within it, its bindings are released; past it and 30 days of grace, those of tasks that cannot run are reaped."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    acks = table(spark, sf, "lineitem").where("l_returnflag != 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("acked"))
+    now = orders.agg(F.max("o_orderdate").alias("now"))
+    return TK.bindings(orders.join(acks, "o_orderkey", "left").crossJoin(F.broadcast(now)), "o_orderdate", "acked", "now", F.col("o_orderstatus") == "O", 60, 30).select("o_orderkey", "binding")  # one row
 
 
 ADMIT_SQL = """WITH RECURSIVE a AS (SELECT {0} AS h, CASE WHEN event_id % 3 = 2 THEN -1 ELSE 1 END AS d, row_number() OVER (PARTITION BY {0} ORDER BY event_id) AS k FROM events),
@@ -471,12 +510,16 @@ def curve_price_dv01(spark, sf):
     return priced(spark, sf).select("o_orderkey", F.round(r, 9).alias("rate"), F.round(S.discount_price(r, t, n), 4).alias("price"), F.round(S.dv01(r, t, n), 4).alias("dv01"))
 
 
-@query("SELECT o_orderkey, true AS holds FROM orders")
+@query(
+    f"""SELECT o_orderkey, abs((notional * exp(-(rate + 0.0001) * tenor) - notional * exp(-(rate - 0.0001) * tenor)) / 2 + notional * exp(-rate * tenor) * sinh(tenor / 10000)) <= greatest(abs(notional * exp(-rate * tenor)), 1) * 1e-9 AS holds,
+round(notional * exp(-rate * tenor) * sinh(tenor / 10000), 4) AS loss FROM ({PRICED})"""
+)
 def dv01_check(spark, sf):
     """The closed form: minus the price times sinh(t / 10000)."""
     r, t, n = F.col("rate"), F.col("tenor"), F.col("notional")
     px = S.discount_price(r, t, n)
-    return priced(spark, sf).select("o_orderkey", (F.abs(S.dv01(r, t, n) + px * F.sinh(t * 1e-4)) <= F.greatest(F.abs(px), F.lit(1.0)) * 1e-9).alias("holds"))
+    holds = F.abs(S.dv01(r, t, n) + px * F.sinh(t * 1e-4)) <= F.greatest(F.abs(px), F.lit(1.0)) * 1e-9
+    return priced(spark, sf).select("o_orderkey", holds.alias("holds"), F.round(px * F.sinh(t * 1e-4), 4).alias("loss"))
 
 
 @query("SELECT event_id, event_id * 2 AS doubled FROM events")
@@ -490,8 +533,9 @@ def double_column(spark, sf):
 @query("SELECT event_type, count(*) AS n, min(value) AS low, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def latency_summary(spark, sf):
     """Nearest-rank percentiles, no interpolation."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    events = table(spark, sf, "events").select("event_type", "value")
+    rest = events.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    return rest.join(at_share(events, ["event_type"], "value", {"p50": 0.5, "p99": 0.99}), "event_type")
 
 
 @query(
@@ -518,10 +562,13 @@ SELECT event_type, sum(got)::BIGINT AS got, list_sort(list(p50))[count(*) // 2 +
 )
 def fanout_rollup(spark, sf):
     """Over the subscribers' own percentiles: the element at half of the sorted list, and the worst."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    own = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("got"), p(0.5).alias("p50"), p(0.99).alias("p99"))
-    middle = lambda c: F.get(F.sort_array(F.collect_list(c)), F.floor(F.count("*") / 2).cast("int"))
-    return own.groupBy("event_type").agg(F.sum("got").alias("got"), middle("p50").alias("p50"), middle("p99").alias("p99"), F.max("p99").alias("worst_p99"))
+    events = table(spark, sf, "events").select("event_type", "user_id", "value")
+    own = events.groupBy("event_type", "user_id").agg(F.count("*").alias("got")).join(at_share(events, ["event_type", "user_id"], "value", {"p50": 0.5, "p99": 0.99}), ["event_type", "user_id"])
+    totals = own.groupBy("event_type").agg(F.sum("got").alias("got"), F.max("p99").alias("worst_p99"), F.floor(F.count("*") / 2).alias("_half"))
+    for name in ("p50", "p99"):
+        placed = numbered(own.select("event_type", "user_id", name), ["event_type"], name, "_at", ("user_id",))
+        totals = totals.join(placed.drop("user_id"), "event_type").where(F.col("_at") == F.col("_half") + 1).drop("_at")
+    return totals.drop("_half")
 
 
 @query(
@@ -552,7 +599,9 @@ def object_pool_shape(spark, sf):
 
 @query("SELECT class, count(*) AS n, sum(n)::BIGINT AS used, (sum(class) - sum(n))::BIGINT AS slack FROM (SELECT length(text) AS n, (SELECT min(c) FROM (SELECT 64 * (1 << k) AS c FROM range(9) t(k)) WHERE c >= length(text))::BIGINT AS class FROM documents) WHERE class IS NOT NULL GROUP BY class")
 def pool_census(spark, sf):
-    fit = pool_class_fit(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n")), "doc_id").where("class IS NOT NULL")
+    """Documents by the size class that holds them."""
+    classes = F.lit(CLASSES).cast("array<long>")
+    fit = table(spark, sf, "documents").select(F.length("text").cast("long").alias("n")).withColumn("class", F.array_min(F.filter(classes, lambda c: c >= F.col("n")))).where("class IS NOT NULL")
     return fit.groupBy("class").agg(F.count("*").alias("n"), F.sum("n").alias("used"), (F.sum("class") - F.sum("n")).alias("slack"))
 
 
@@ -575,7 +624,10 @@ def ref_pack_unpack(spark, sf):
     return packed.select("event_id", "ref", S.ref_segment(F.col("ref")).alias("segment"), S.ref_offset(F.col("ref")).alias("off"), S.aligned(F.col("event_id"), 64).alias("aligned"))
 
 
-@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+@query(
+    """WITH r AS (SELECT event_id, event_type FROM events), n AS (SELECT {'event_id': event_id, 'tag': 't' || event_type} AS s, [event_id] AS vals FROM r), b AS (SELECT vals[1] AS event_id, substr(s.tag, 2) AS event_type FROM n)
+SELECT (SELECT count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM r)) AS extra"""
+)
 def nested_roundtrip(spark, sf):
     """Rows put into structs and arrays and taken out again are the same rows."""
     rows = table(spark, sf, "events").select("event_id", "event_type")
@@ -697,3 +749,6 @@ def kept_skip_count(spark, sf):
     roots = spark.range(1, 9).select((F.col("id") * K + 1).alias("head"), F.explode(F.sequence(F.lit(0), F.lit(75), F.lit(5)).cast("array<long>")).alias("since"))
     kept = F.sequence(F.col("head") - K, F.col("head") - 1)
     return roots.select("head", "since", F.size(F.filter(kept, lambda v: v <= F.col("since"))).cast("long").alias("skipped"))
+
+
+from tidelog.plans import histories  # noqa: E402, F401  it registers queries of its own

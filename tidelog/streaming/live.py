@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tidelog.operators.tasks import MOVES
 
 
 def ingest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -24,6 +27,54 @@ def ingest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def subscribe(spark: SparkSession, path: str, schema: StructType, since: int | str = "earliest") -> DataFrame:
+    """The commits of a table that ingest() writes, as a stream of rows with their version.
+
+    since: "earliest" for all that is held, "live" for what comes from now on, or a version after which to go on."""
+    if since == "live":
+        held = spark.read.schema(schema.add("version", "long") if "version" not in schema.names else schema).option("basePath", path).parquet(path)
+        since = held.agg(F.max("version")).first()[0] or 0
+    rows = spark.readStream.schema(StructType([*(f for f in schema if f.name != "version"), StructField("version", LongType())])).option("basePath", path).parquet(f"{path}/version=*")
+    return rows if since == "earliest" else rows.where(F.col("version") > int(since))
+
+
+def leases(events: DataFrame, key: str, at: str, event: str, lease: str = "20 minutes", late: str = "0 minutes", retries: int = 3) -> DataFrame:
+    """key, state, attempts: tasks whose claims run out, by event time.
+
+    events: key, at (a timestamp) and event (claim, complete, fail). A claim that is not ended within
+    lease puts its task back when the watermark has passed it, at most retries times; then it fails."""
+    span = pd.Timedelta(lease)
+
+    def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, attempts, until = state.get if state.exists else ("QUEUED", 0, 0)
+
+        def lapse(time: int) -> None:
+            nonlocal now, until
+            if now == "CLAIMED" and time > until:
+                now, until = "FAILED" if attempts > retries else "QUEUED", 0
+
+        if state.hasTimedOut:
+            lapse(until + 1)
+        else:
+            for time, what in sorted((int(t.value // 1_000_000), w) for b in batches for t, w in zip(b[at], b[event])):
+                lapse(time)
+                if what == "claim" and now == "QUEUED":
+                    now, attempts, until = "CLAIMED", attempts + 1, time + int(span.total_seconds() * 1000)
+                elif now == "CLAIMED" and what in ("complete", "fail"):
+                    now, until = {"complete": "DONE", "fail": "FAILED"}[what], 0
+        state.update((now, attempts, until))
+        if until and until >= state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(until + 1)
+        elif until:
+            lapse(until + 1)
+            state.update((now, attempts, until))
+        yield pd.DataFrame({key: [name[0]], "state": [now], "attempts": [attempts]})
+
+    kind = dict(events.dtypes)[key]
+    timed = events.withWatermark(at, late).groupBy(key)
+    return timed.applyInPandasWithState(fold, f"{key} {kind}, state string, attempts long", "state string, attempts long, until long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(events: DataFrame, at: str, key: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts of each key by window of event time; rows later than late are dropped."""
     return events.withWatermark(at, late).groupBy(F.window(at, size), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
@@ -49,13 +100,12 @@ def counters(messages: DataFrame, key: str, amount: str) -> DataFrame:
 
 def task_states(events: DataFrame, key: str, order: str, event: str) -> DataFrame:
     """The state of each task after every micro-batch with events of it; the rules of tasks.folded."""
-    moves = {("QUEUED", "claim"): "CLAIMED", ("CLAIMED", "complete"): "DONE", ("CLAIMED", "fail"): "FAILED", ("QUEUED", "cancel"): "CANCELLED", ("CLAIMED", "lapse"): "QUEUED"}
 
     def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, n = state.get if state.exists else ("QUEUED", 0)
         log = pd.concat(list(batches)).sort_values(order)
         for what in log[event]:
-            now, n = moves.get((now, what), now), n + 1
+            now, n = MOVES.get((now, what), now), n + 1
         state.update((now, n))
         yield pd.DataFrame({key: [name[0]], "state": [now], "n_events": [n]})
 
