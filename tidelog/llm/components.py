@@ -1,7 +1,8 @@
-"""Connected components of an edge list, by alternating star contractions."""
+"""Connected components of an edge list, by alternating star contractions, and trees of small ones."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.groupBy("a").agg(F.min("b").alias("component_id")).select(F.col("a").alias("id"), "component_id").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
+
+
+def spanning(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Pairs that join all that pairs join: from the member with most partners on, each new one by the pair that reached it first."""
+    if len(pairs) < 2:
+        return pairs[:, :2]
+    i, j = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    degree = np.bincount(i, minlength=n)
+    first = np.cumsum(degree) - degree
+    seen = np.zeros(n, bool)
+    out = []
+    for root in np.argsort(-degree, kind="stable"):
+        if seen[root] or not degree[root]:
+            continue
+        seen[root] = True
+        todo = [root]
+        while todo:
+            k = todo.pop(0)
+            fresh = j[first[k] : first[k] + degree[k]]
+            fresh = fresh[~seen[fresh]]
+            seen[fresh] = True
+            out.append(np.stack([np.full(len(fresh), k), fresh], 1))
+            todo += fresh[np.argsort(-degree[fresh], kind="stable")].tolist()
+    return np.concatenate(out)
