@@ -1,10 +1,14 @@
 """Operator 9: near-duplicate vectors by collision counting.
 
-Unit vectors are projected on many random directions. Two vectors at a cosine of 0.98 or more are so
-near that their projections fall into one another's windows on most directions; how many is known, so
-a count can be set that such a pair misses with a chance below MISS. Pairs that reach the count are
-decided by their cosine. The vectors of a label are dealt out in blocks, and pairs of blocks compared:
-on each direction the block is sorted, and each vector's window is a run of that order.
+Unit vectors are projected on many random directions, and sorted on each. Two vectors at a cosine of
+0.98 or more are so near that their projections fall into one another's windows on most directions;
+how many is known, so a count can be set that such a pair misses with a chance below MISS. Pairs that
+reach the count are decided by their cosine.
+
+A label of few vectors is one group. Those of a larger one are first dealt out by cells of a few
+projections together, many times over: so many projections that a cell holds about BLOCK vectors that
+are not alike, and so often that a pair at the limit shares no cell with a chance below MISS. A pair
+counts in the first cell that both share. Large groups are compared block by block.
 """
 
 from __future__ import annotations
@@ -17,15 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, written
-from tidelog.llm.components import components
-from tidelog.llm.vectors import DOUBLE, chunks, stacked, usable
+from tidelog.llm.common import by_group, few, freeing, table, written
+from tidelog.llm.components import components, spanning
+from tidelog.llm.vectors import chunk, each_chunk, stacked, takes_part, usable
 
 COSINE = 0.98
 DIRECTIONS, SEED = 48, 11
 #: Half a window, in distances of the farthest pair that is wanted.
 HALF_WINDOW, MISS = 1.5, 1e-7
-BLOCK = 1024
+#: Vectors that are compared at a time, and those of a label that is one group.
+BLOCK, WHOLE = 1024, 16_384
+#: The width of a cell, in standard deviations of a unit vector's projections.
+CELL = 1.0
 
 
 def needed_collisions(directions: int = DIRECTIONS, half_window: float = HALF_WINDOW, miss: float = MISS) -> int:
@@ -43,17 +50,44 @@ def directions(dim: int, n: int = DIRECTIONS) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).normal(size=(dim, n))
 
 
+def same_cell(distance: float, width: float = CELL) -> float:
+    """The chance that two unit vectors at a distance have projections in one cell of a grid with a random origin."""
+    z = width / distance
+    return math.erf(z / math.sqrt(2)) - math.sqrt(2 / math.pi) * (1 - math.exp(-z * z / 2)) / z
+
+
+def cell_plan(n: int, cosine: float = COSINE, block: int = BLOCK, miss: float = MISS) -> tuple[int, int]:
+    """Projections in a cell, and how often n vectors are dealt out."""
+    k = max(1, math.ceil(math.log(n / block) / -math.log(same_cell(math.sqrt(2)))))
+    return k, math.ceil(math.log(miss) / math.log1p(-(same_cell(math.sqrt(2 - 2 * cosine)) ** k)))
+
+
+def cells(x: np.ndarray, k: int, times: int) -> np.ndarray:
+    """The cell of each unit vector, as a number of 32 bits, each time it is dealt out."""
+    rng = np.random.default_rng([SEED, 1, x.shape[1]])
+    out = np.empty((len(x), times), np.int32)
+    for t in range(times):
+        place = np.floor(x @ rng.normal(size=(x.shape[1], k)) / CELL + rng.random(k)).astype(np.int64).astype(np.uint64)
+        code = np.zeros(len(x), np.uint64)
+        for c in place.T:
+            code = (code ^ c) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(32)
+        out[:, t] = code.astype(np.uint32).view(np.int32)
+    return out
+
+
 def collisions(p: np.ndarray, q: np.ndarray, width: float) -> np.ndarray:
-    """On how many directions each row of q lies in the window of each row of p."""
-    out = np.zeros((len(p), len(q)), np.int16)
+    """On how many directions each row of q lies in the window of each row of p. At most 65535 rows of q, 255 directions."""
+    out = np.zeros((len(p), len(q)), np.uint8)
+    order = np.argsort(q, axis=0, kind="stable")
     for k in range(p.shape[1]):
-        order = np.argsort(q[:, k], kind="stable")
-        line = q[order, k]
+        line = q[order[:, k], k]
+        place = np.empty(len(q), np.uint16)
+        place[order[:, k]] = np.arange(len(q), dtype=np.uint16)
         low, high = np.searchsorted(line, p[:, k] - width, "left"), np.searchsorted(line, p[:, k] + width, "right")
-        step = np.zeros((len(p), len(q) + 1), np.int8)  # +1 where a row's window begins, -1 after its end
-        np.add.at(step, (np.arange(len(p)), low), 1)
-        np.add.at(step, (np.arange(len(p)), high), -1)
-        out[:, order] += np.cumsum(step[:, :-1], axis=1, dtype=np.int8)
+        low, size = low.astype(np.uint16)[:, None], (high - low).astype(np.uint16)[:, None]
+        for a in range(0, len(p), 256):  # places before low wrap around to beyond any size
+            out[a : a + 256] += (place[None, :] - low[a : a + 256]) < size[a : a + 256]
     return out
 
 
@@ -75,26 +109,29 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float = COSINE) -> n
     return np.stack([i[ok], j[ok]], 1)
 
 
-def _tree(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that join all that pairs join."""
-    root = list(range(n))
+def _dealt(classes: DataFrame, cosine: float, whole: int, block: int) -> DataFrame:
+    """classes with time, cell and cells (all of the vector's, binary): a row for each time that a vector is dealt out."""
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    big = few(sizes.where(F.col("n") > whole), "large-labels")
 
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                for (dim, n), part in batch.iloc[a : a + 1000].groupby(["dim", "n"]):
+                    if n:
+                        x = stacked(part["vector"], dim)
+                        found = cells(x / np.sqrt((x * x).sum(1, keepdims=True)), *cell_plan(n, cosine, block))
+                    else:
+                        found = np.zeros((len(part), 1), np.int32)
+                    part = part.drop(columns="n").assign(cells=[row.tobytes() for row in found])
+                    for t, column in enumerate(found.T):
+                        yield part.assign(time=t, cell=column)
 
-    out = []
-    for a, b in pairs.tolist():
-        p, q = top(a), top(b)
-        if p != q:
-            root[q] = p
-            out.append((a, b))
-    return out
+    placed = classes.join(big, ["label", "dim"], "left").select("label", "dim", "id", "copies", "vector", F.coalesce("n", F.lit(0)).alias("n"))
+    return placed.mapInPandas(freeing(deal), "label long, dim int, id long, copies long, vector binary, cells binary, time int, cell int")
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of rows.
 
     Only rows of one label, not null, are compared. Vectors that are null, zero or empty or hold null or
@@ -103,47 +140,42 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     component. An empty table gives no row; other columns are ignored."""
     vectors = written(usable(rows).where("label IS NOT NULL"), "vectors")
     classes = written(vectors.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    dealt = chunks(classes, ["label", "dim"], BLOCK).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    blocks = dealt.select("label", "dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "copies", "vector")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left = group if i == j else group[group["chunk"] == i]
-        right = None if i == j else group[group["chunk"] == j]
-        if right is not None and (not len(left) or not len(right)):
+    dealt = written(_dealt(classes, cosine, whole, block), "cells")
+    group = ["label", "dim", "time", "cell"]
+    sizes = dealt.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    large = few(sizes.where("chunks > 1"), "large-cells")
+    spread = dealt.join(large, group, "left").withColumn("chunk", chunk("chunks")).withColumn("other", each_chunk("chunks"))
+    blocks = spread.select(*group, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "copies", "vector", "cells")
+
+    def compare(one: pd.DataFrame) -> pd.DataFrame:
+        dim, time, i, j = (int(one[c].iloc[0]) for c in ("dim", "time", "i", "j"))
+        left = one if i == j else one[one["chunk"] == i]
+        right = None if i == j else one[one["chunk"] == j]
+        if len(left) < 2 if right is None else not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="Int64")
-        pairs = near_pairs(stacked(left["vector"]), None if right is None else stacked(right["vector"]), cosine)
-        if right is None:
-            whole = left
-        else:
-            whole = pd.concat([left, right])
-            pairs = pairs + np.array([0, len(left)])
-        ids, copies = whole["id"].to_numpy(), whole["copies"].to_numpy()
+        pairs = near_pairs(stacked(left["vector"], dim), None if right is None else stacked(right["vector"], dim), cosine)
+        if right is not None:
+            one, pairs = pd.concat([left, right]), pairs + np.array([0, len(left)])
+        if time:  # pairs that shared an earlier cell are counted there
+            before = np.frombuffer(b"".join(one["cells"]), np.int32).reshape(len(one), -1)[:, :time]
+            fresh = [(before[pairs[k : k + 50_000, 0]] != before[pairs[k : k + 50_000, 1]]).all(1) for k in range(0, len(pairs), 50_000)]
+            pairs = pairs[np.concatenate([np.zeros(0, bool), *fresh])]
+        ids, copies = one["id"].to_numpy(), one["copies"].to_numpy()
         n = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(ids)) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(ids))
-        some = np.flatnonzero(n)
-        tree = _tree(pairs, len(ids))
-        return pd.DataFrame({"a": [*ids[some], *(ids[a] for a, _ in tree)], "b": pd.array([None] * len(some) + [int(ids[b]) for _, b in tree], "Int64"), "n": [*n[some].astype(np.int64), *[0] * len(tree)]})
+        some, tree = np.flatnonzero(n), ids[spanning(pairs, len(ids))]
+        return pd.DataFrame({"a": np.concatenate([ids[some], tree[:, 0]]), "b": pd.array([None] * len(some) + tree[:, 1].tolist(), "Int64"), "n": np.concatenate([n[some].astype(np.int64), np.zeros(len(tree), np.int64)])})
 
-    found = written(blocks.groupBy("label", "dim", "i", "j").applyInPandas(compare, "a long, b long, n long"), "collisions")
+    found = written(by_group(blocks, [*group, "i", "j"], compare, "a long, b long, n long"), "collisions")
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
     out = classes.join(links, "id", "left").join(labels, "id", "left").select("label", "dim", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     of_class = vectors.join(out, ["label", "dim", "vector"]).select("vec_id", "n_links", "component_id")
-    unlinked = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("_label"), F.col("embedding").alias("_v"))
-    rest = _excluded(unlinked)
-    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.where(~(takes_part(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
+    alone = rest.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     both = of_class.unionByName(alone)
     return both.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _excluded(rows: DataFrame) -> DataFrame:
-    """The rows that usable() leaves out, or that have no label or vec_id."""
-    finite = F.forall("_v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    some = F.exists("_v", lambda c: c != 0)
-    takes_part = F.col("_v").isNotNull() & F.col("_label").isNotNull() & F.col("vec_id").isNotNull() & finite & some
-    return rows.where(~F.coalesce(takes_part, F.lit(False)))
-
-
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
