@@ -751,4 +751,4 @@ def kept_skip_count(spark, sf):
     return roots.select("head", "since", F.size(F.filter(kept, lambda v: v <= F.col("since"))).cast("long").alias("skipped"))
 
 
-from tidelog.plans import histories  # noqa: E402, F401  it registers queries of its own
+from tidelog.plans import histories, keys  # noqa: E402, F401  they register queries of their own
