@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import part_offsets, table, written
+from tidelog.llm.common import freeing, part_offsets, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The dealt weights, by code point order of the sources, and the most passes over a source.
@@ -24,6 +24,8 @@ WEIGHTS, PASSES = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 4096, 17
 #: Sources are named by a mixing recipe; their totals (one row each) go to the driver up to this many.
 MOST_SOURCES = 100_000
+#: Equal rows that one task deals out at a time.
+COPIES = 1024
 SLOTS = "source_rank int, block long, pass int, words long, shard long, slot long"
 
 
@@ -144,16 +146,23 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def placed(sizes: DataFrame, ranks: DataFrame, rows: int) -> DataFrame:
-    """Each row's first word in its source's stream (start). Streams run through hash buckets of doc_id,
-    about as many as the square root of the rows, so neither a bucket of the largest source nor a
-    source's list of buckets is large."""
+    """Each row's first word in its source's stream (start). Streams run through hash buckets of doc_id and
+    text, about as many as the square root of the rows, so neither a bucket of the largest source nor a
+    source's list of buckets is large. Equal rows stand one after the other; they are counted first, so
+    however many there are, one row goes into the order."""
     buckets = math.isqrt(rows) + 1
-    dealt = sizes.join(F.broadcast(ranks), sizes["source"].eqNullSafe(ranks["source"])).select("doc_id", sizes["source"], "size", "text_hash", "source_rank", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    named = sizes.join(F.broadcast(ranks), sizes["source"].eqNullSafe(ranks["source"])).select("doc_id", sizes["source"], "size", "text_hash", "source_rank")
+    dealt = named.groupBy("source_rank", "source", "doc_id", "size", "text_hash").agg(F.count("*").alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
+    amount = F.col("size") * F.col("copies")
     within = Window.partitionBy("source_rank", "bucket").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source_rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("source_rank", "bucket").agg(F.sum("size").alias("_n")).select("source_rank", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = dealt.withColumn("_own", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return own.join(totals, ["source_rank", "bucket"]).select("doc_id", "source", "source_rank", "size", "text_hash", (F.col("_own") + F.col("_before")).cast("long").alias("start"))
+    totals = dealt.groupBy("source_rank", "bucket").agg(F.sum(amount).alias("_n")).select("source_rank", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_own", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(totals, ["source_rank", "bucket"])
+    first = own.select("doc_id", "source", "source_rank", "size", "text_hash", (F.col("_own") + F.col("_before")).cast("long").alias("start"), "copies")
+    some = first.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))).alias("_part"))
+    many = some.where(F.col("copies") > COPIES).repartition("doc_id", "text_hash", "_part").unionByName(some.where(F.col("copies") <= COPIES))
+    each = many.withColumn("_k", F.explode(F.sequence(F.col("_part") * COPIES, F.least(F.col("_part") * COPIES + COPIES, F.col("copies")) - 1)))
+    return each.select("doc_id", "source", "source_rank", "size", "text_hash", (F.col("start") + F.col("_k") * F.col("size")).alias("start"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -199,12 +208,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
                         at += count
 
     shards = -(-sum(plan.slots) // shard_slots)
-    dealt = spark.range(0, shards, 1, max(1, min(shards, 8 * spark.sparkContext.defaultParallelism))).mapInPandas(slots, SLOTS)
+    dealt = spark.range(0, shards, 1, max(1, min(shards, 8 * spark.sparkContext.defaultParallelism))).mapInPandas(freeing(slots), SLOTS)
     first, last = F.col("start") / block_words, (F.col("start") + F.col("size") - 1) / block_words
     blocks = rows.where("size > 0").select("doc_id", "source_rank", "start", "text_hash", "size", F.explode(F.sequence(F.floor(first), F.floor(last))).alias("block"))
     begin = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))  # in the block
     end = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.col("words"))
-    taken = blocks.join(dealt, ["source_rank", "block"]).where(end > begin)
+    taken = blocks.join(dealt.hint("merge"), ["source_rank", "block"]).where(end > begin)  # a row for each slot: it grows with the words
     pieces = taken.select("doc_id", "source_rank", "start", "text_hash", "size", "shard", "slot", "pass", (F.col("block") * block_words + begin - F.col("start")).alias("first"), (end - begin).alias("length"))
     return rows, pieces
 
