@@ -31,10 +31,10 @@ def subscribe(spark: SparkSession, path: str, schema: StructType, since: int | s
     """The commits of a table that ingest() writes, as a stream of rows with their version.
 
     since: "earliest" for all that is held, "live" for what comes from now on, or a version after which to go on."""
+    whole = StructType([*(f for f in schema if f.name != "version"), StructField("version", LongType())])
     if since == "live":
-        held = spark.read.schema(schema.add("version", "long") if "version" not in schema.names else schema).option("basePath", path).parquet(path)
-        since = held.agg(F.max("version")).first()[0] or 0
-    rows = spark.readStream.schema(StructType([*(f for f in schema if f.name != "version"), StructField("version", LongType())])).option("basePath", path).parquet(f"{path}/version=*")
+        since = spark.read.schema(whole).parquet(path).agg(F.max("version")).first()[0] or 0
+    rows = spark.readStream.schema(whole).option("basePath", path).parquet(f"{path}/version=*")
     return rows if since == "earliest" else rows.where(F.col("version") > int(since))
 
 
