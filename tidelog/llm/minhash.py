@@ -16,29 +16,36 @@ brings nobody together.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, written
-from tidelog.llm.components import components
+from tidelog.llm.common import by_group, few, freeing, ids_of, table, with_ids, written
+from tidelog.llm.components import components, spanning
 
 SHINGLE, SKETCH = 5, 64
 #: Linked: 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Values of a sketch that are listed. Two sets of the wanted similarity miss each other in all of n
-#: values with a chance of 0.25 ** n.
-LISTED, ENOUGH = 20, 12
+#: Values of a sketch that are listed: all. A document with ENOUGH values that are not crowded stays out of
+#: crowded lists: at the wanted similarity a quarter of its values at most may be its own, so even if just
+#: those are the ones not crowded, 36 of 64 are with a chance of about 2e-8. Where the sketch is the whole
+#: set, more values than that quarter are enough.
+LISTED, ENOUGH = 64, 36
 #: Documents in a block of a list; longer lists are dealt out in blocks.
 BLOCK = 1024
 #: Lists up to this length give all their pairs at once.
 SHORT = 8
 #: Common values of two full sketches from which a pair is checked: 48 are expected at a similarity of 0.75, and fewer than this about once in a million.
 COMMON = 31
+#: Members of full sets that a block's comparison takes up at a time.
+AT_A_TIME = 2_000_000
 #: Ids of 8 bytes that are broadcast.
 FEW_IDS = 2_000_000
+#: Bytes of the longest word that is hashed in numpy, and of text that is hashed at a time.
+LONG_WORD, BATCH = 64, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,45 +55,63 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, n.bit_length())
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        for name, base in (("up", _ODD), ("down", inverse)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The text's set as sorted 64-bit numbers: its distinct shingles, or all its words as one where they are fewer than five."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    gap = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
-    if not len(edge):
-        return np.zeros(0, np.uint64)
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-    word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    n = min(SHINGLE, len(word))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_numbers(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes a round, each round mixed; long words by blake2b."""
+    length = end - start
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,)).copy()  # the eight bytes from each place on
+    out = _mix((length.astype(np.uint64) + np.uint64(1)) * _ODD)
+    long = length > LONG_WORD
+    todo = np.flatnonzero(~long)
+    for k in range(0, LONG_WORD, 8):
+        todo = todo[length[todo] > k]
+        if not len(todo):
+            break
+        out[todo] = _mix((out[todo] ^ (eight[start[todo] + k] & _MASKS[np.minimum(length[todo] - k, 8)])) * _ODD)
+    for k in np.flatnonzero(long):
+        out[k] = int.from_bytes(blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _chained(word: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all runs of n words."""
     code = np.zeros(len(word) - n + 1, np.uint64)
     for k in range(n):
         code = _mix(code * _ODD + word[k : k + len(code)] + np.uint64(k + 1))
-    return np.unique(code if n == SHINGLE else code + np.uint64(n))
+    return code if n == SHINGLE else code + np.uint64(n)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Each text's set as sorted 64-bit hashes: its distinct shingles, or all its words as one where they are fewer than five.
+
+    Two different shingles share a hash with a chance of 2 ** -64."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    size = 0
+    for k, text in enumerate(texts):
+        group.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(group[-1])
+        if size >= BATCH or k == len(texts) - 1:
+            raw = _LOWER[np.frombuffer(b"\n".join([*group, b""]), np.uint8)]  # a line feed ends every text
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw]]).view(np.int8)))
+            start = edge[::2]
+            word = word_numbers(raw, start, edge[1::2])
+            code = _chained(word, SHINGLE) if len(word) >= SHINGLE else None
+            cuts = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in group)])).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                out.append(np.unique(code[a : b - SHINGLE + 1]) if b - a >= SHINGLE else _chained(word[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+            group, size = [], 0
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def sketch(codes: np.ndarray, k: int = SKETCH) -> np.ndarray:
@@ -95,16 +120,14 @@ def sketch(codes: np.ndarray, k: int = SKETCH) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, same (equal for equal sets), sketch (binary), written once."""
+    """doc_id, text_hash, n_shingles, same (equal for equal sets), sketch (binary), written once."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import blake2b
-
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "same": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "sketch": [sketch(s).tobytes() for s in sets]})
+            sets = shingle_sets(batch["text"].tolist())
+            yield pd.DataFrame({"doc_id": ids_of(batch), "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "same": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "sketch": [sketch(s).tobytes() for s in sets]})
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, "doc_id long, n_shingles long, same binary, sketch binary"), "signatures")
+    return written(with_ids(docs, "text", F.xxhash64("text").alias("text_hash")).mapInPandas(freeing(sign), "doc_id long, text_hash long, n_shingles long, same binary, sketch binary"), "signatures")
 
 
 def _common(row: np.ndarray, col: np.ndarray, n: int, width: int, early: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +158,7 @@ def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, absent: np.ndarray, at:
     need = np.minimum(COMMON, -(-3 * counts // 4))  # a partner's sketch has at least so many of one's values; that of a larger set shows only a part
     alive = np.ones(n, bool)
     place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
-    early = (values < at) & ((absent[owner] >> np.minimum(place, LISTED)) & 1 == 0)
+    early = (values < at) & ((absent[owner] >> place) & 1 == 0)
     uniq, where = np.unique(values, return_inverse=True)
     for _ in range(2):  # values that nobody shares, then members with too few others
         times = np.bincount(where[alive[owner]], minlength=len(uniq))
@@ -161,44 +184,24 @@ def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, absent: np.ndarray, at:
 
 
 def _linked(sets: list[np.ndarray], apart: np.ndarray) -> np.ndarray:
-    """Pairs (i < j) whose full sets are similar enough, of those that apart marks."""
+    """Pairs (i < j) whose full sets are similar enough, of those that apart marks. Sets are read range by range, so many long ones take no more memory at a time."""
     n, size = len(sets), np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), size)
-    uniq, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    used = times[where] > 1
-    column = np.cumsum(times > 1) - 1
-    common, _ = _common(owner[used], column[where[used]], n, int((times > 1).sum()), np.zeros(int(used.sum()), bool))
-    ok = np.triu(apart & (100 * common.astype(np.int64) >= SHARE * (size[:, None] + size[None, :] - common.astype(np.int64))), 1)
+    parts = max(1, -(-int(size.sum()) // AT_A_TIME))
+    edges = np.array([(k << 64) // parts for k in range(parts)], np.uint64)
+    cuts = np.concatenate([np.stack([np.searchsorted(s, edges) for s in sets]), size[:, None]], 1)
+    common = np.zeros((n, n), np.float64)
+    for k in range(parts):
+        values = np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)])
+        owner = np.repeat(np.arange(n), cuts[:, k + 1] - cuts[:, k])
+        _, where, times = np.unique(values, return_inverse=True, return_counts=True)
+        used = times[where] > 1
+        column = np.cumsum(times > 1) - 1
+        common += _common(owner[used], column[where[used]], n, int((times > 1).sum()), np.zeros(int(used.sum()), bool))[0]
+    ok = np.triu(apart & (100 * common >= SHARE * (size[:, None] + size[None, :] - common)), 1)
     i, j = np.nonzero(ok)
     return np.stack([i, j], 1)
 
 
-def _tree(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Pairs that join all that pairs join: from the member with most partners on, each new one by the pair that reached it first."""
-    if len(pairs) < 2:
-        return pairs[:, :2]
-    i, j = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-    order = np.argsort(i, kind="stable")
-    i, j = i[order], j[order]
-    degree = np.bincount(i, minlength=n)
-    first = np.cumsum(degree) - degree
-    seen = np.zeros(n, bool)
-    out = []
-    for root in np.argsort(-degree, kind="stable"):
-        if seen[root] or not degree[root]:
-            continue
-        seen[root] = True
-        todo = [root]
-        while todo:
-            k = todo.pop(0)
-            fresh = j[first[k] : first[k] + degree[k]]
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            out.append(np.stack([np.full(len(fresh), k), fresh], 1))
-            todo += fresh[np.argsort(-degree[fresh], kind="stable")].tolist()
-    return np.concatenate(out)
-
-
 def _union_passes(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
     """Whether the sketch of the union leaves the similarity possible."""
     union = np.union1d(a, b)
@@ -208,32 +211,6 @@ def _union_passes(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
     return len(np.intersect1d(a[a <= union[-1]], b[b <= union[-1]], assume_unique=True)) >= COMMON
 
 
-def _by_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work on the rows of each group of keys, many groups in one Arrow batch. Groups are bounded by the blocks."""
-
-    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-        for batch in batches:
-            key = batch[keys].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(batch)]
-            out = []
-            for s, e in zip(cuts, cuts[1:]):
-                if s == e:
-                    continue
-                if held and last != tuple(key[s]):
-                    out.append(work(pd.concat(held)))
-                    held = []
-                last = tuple(key[s])
-                held.append(batch.iloc[s:e])
-            if out:
-                yield pd.concat(out)
-        if held:
-            yield work(pd.concat(held))
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(groups, schema)
-
-
 def _numbers(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in column]
 
@@ -243,10 +220,10 @@ def _trees(members: DataFrame) -> DataFrame:
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         found = _overlaps(_numbers(group["sketch"]), group["n_shingles"].to_numpy(), group["absent"].to_numpy(), np.int64(group["v"].iloc[0]).astype(np.uint64))
-        ids = group["id"].to_numpy()[_tree(found, len(group))]
+        ids = group["id"].to_numpy()[spanning(found, len(group))]
         return pd.DataFrame({"a": ids.min(1), "b": ids.max(1)})
 
-    return _by_group(members.select("v", "id", "n_shingles", "sketch", "absent"), ["v"], tree, "a long, b long")
+    return by_group(members.select("v", "id", "n_shingles", "sketch", "absent"), ["v"], tree, "a long, b long")
 
 
 def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -256,8 +233,8 @@ def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_o
     dealt out in blocks, and a group is a block of either side."""
     marked = lists.join(labels, "id", "left").select("v", "id", F.coalesce("component_id", "id").alias("label"))
     per = marked.groupBy("v").agg(F.min_by("label", "id").alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high")
-    some = marked.join(per.select("v", "main", "n"), "v")
-    others = some.where("label != main").groupBy("v").agg(F.count("*").alias("r"))
+    some = marked.join(few(per.select("v", "main", "n"), "lists-apart"), "v")
+    others = few(some.where("label != main").groupBy("v").agg(F.count("*").alias("r")), "others")
     some = written(some.join(others, "v").select("v", "id", "label", (F.col("label") != F.col("main")).alias("other"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("r") / BLOCK).cast("int").alias("nj")), "apart")
     i, j = F.pmod(F.xxhash64("id"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nj")).cast("int")
     stored = some.select("v", "id", "label", F.lit(False).alias("asked"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
@@ -277,13 +254,13 @@ def _still_apart(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets_o
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         found = _linked(_numbers(group["shingles"]), marks(group))
-        ids = group["id"].to_numpy()[_tree(found, len(group))]
+        ids = group["id"].to_numpy()[spanning(found, len(group))]
         return pd.DataFrame({"a": ids.min(1), "b": ids.max(1)})
 
     keys = ["v", "i", "j"]
-    needed = written(_by_group(dealt.select(*keys, "id", "label", "asked", "n_shingles", "sketch", "absent"), keys, possible, "v long, i int, j int, id long, label long, asked boolean"), "needed")
+    needed = written(by_group(dealt.select(*keys, "id", "label", "asked", "n_shingles", "sketch", "absent"), keys, possible, "v long, i int, j int, id long, label long, asked boolean"), "needed")
     sets = sets_of(needed.select("id").distinct())
-    return written(_by_group(needed.join(sets, "id").select(*keys, "id", "label", "asked", "shingles"), keys, links, "a long, b long").distinct(), "late-links")
+    return written(by_group(needed.join(sets, "id").select(*keys, "id", "label", "asked", "shingles"), keys, links, "a long, b long").distinct(), "late-links")
 
 
 def _short_pairs(listed: DataFrame) -> DataFrame:
@@ -305,7 +282,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     side = lambda name: classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"of_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInPandas(possible, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInPandas(freeing(possible), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -321,61 +298,92 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.loc[keep, ["a", "b"]]
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return written(both.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long"), "verified")
+    return written(both.select("a", "b", "set_a", "set_b").mapInPandas(freeing(check), "a long, b long"), "verified")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, repeats: bool) -> DataFrame:
-    """id, shingles (binary) of the named documents. repeats: a doc_id may stand in several rows.
+def _sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, repeats: bool) -> DataFrame:
+    """id, shingles (binary) of the named classes, from a document of each. repeats: a doc_id may stand in several rows.
 
     Few ids, by their count, go to where the texts are; many are joined with a shuffle of the texts."""
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "shingles": [shingles(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "shingles": [x.tobytes() for x in shingle_sets(batch["text"].tolist())]})
 
-    ids = written(ids.select(F.col("id").alias("doc_id")), "wanted")
-    few = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id", "left_semi").mapInPandas(full, "id long, shingles binary")
+    wanted = few(classes.join(ids, "id", "left_semi").select("id", "doc_id", "text_hash"), "wanted", FEW_IDS)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).join(wanted, ["doc_id", "text_hash"]).select("id", "text")
+    found = found.mapInPandas(freeing(full), "id long, shingles binary")
     return written(found.dropDuplicates(["id"]) if repeats else found, "sets")
 
 
+def _named(classes: DataFrame, full: DataFrame) -> DataFrame:
+    """classes with ids of their own where rows that repeat a doc_id bring it into several: a hash that is no doc_id, no other's id."""
+    clash = classes.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
+    known = full.select(F.col("doc_id").alias("id")).distinct()
+    alone, several = classes.join(clash, "id", "left_anti"), classes.join(clash, "id", "left_semi")
+    for salt in range(100):
+        fresh = written(several.withColumn("id", F.xxhash64("same", F.lit(salt))), "named")
+        if not fresh.join(known, "id", "left_semi").limit(1).count() and not fresh.groupBy("id").count().where("count > 1").limit(1).count():
+            return written(alone.unionByName(fresh), "classes")
+    raise RuntimeError("no free ids")
+
+
+def _different(lists: DataFrame) -> DataFrame:
+    """Of lists (v, id) with the same members, the one of the least value: near copies share many values, and one list says it all.
+
+    Values are compared as the unsigned numbers that they are, as _overlaps does. Members are told by
+    their number and two hashes over all of them."""
+    per = lists.groupBy("v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    first = per.groupBy("n", "x", "y").agg(F.min(F.struct(F.col("v") < 0, "v")).alias("_first"))
+    return lists.join(first.select("_first.v"), "v", "left_semi")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Null and empty texts, and texts of white space, have an empty set and are linked with nothing, not
     even with each other. A null doc_id has no name to be linked by: it is kept, with a null
-    component_id. Rows that repeat a doc_id stay and share its component; where their texts differ,
-    each text's links count for the doc_id, except that a text met only through near-likeness is the
-    one of the rows that Spark finds first. An empty table gives no row; other columns are ignored."""
+    component_id. Rows that repeat a doc_id stay and share its component: each text's links count for
+    the doc_id. An empty table gives no row; other columns are ignored."""
     signed = signatures(docs)
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
-    copies = full.join(classes.where("copies > 1").select("same", "id"), "same").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a != b")
+    repeats = full.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    first = F.min(F.struct("doc_id", "text_hash"))
+    classes = full.groupBy("same").agg(first.alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    classes = written(classes.select("same", F.col("_first.doc_id").alias("id"), "_first.*", "n_shingles", "sketch", "copies"), "classes")
+    if repeats:
+        classes = _named(classes, full)
+    copies = full.select("same", F.col("doc_id").alias("b")).join(classes.where("copies > 1 OR id != doc_id").select("same", F.col("id").alias("a")), "same").select("a", "b").where("a != b").distinct()
 
     @F.pandas_udf("array<long>")
     def first_values(sketches: pd.Series) -> pd.Series:
         return sketches.map(lambda s: np.frombuffer(s, np.int64)[:LISTED])
 
     index = classes.select("id", F.posexplode(first_values("sketch")).alias("place", "v"))
-    often = index.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    listed = written(index.join(often, "v"), "lists")
+    often = written(index.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    hot = few(often.where(F.col("n") > BLOCK), "hot")  # with its count beside the index rows, so no task gathers a hot value's
+    cold = index.join(hot, "v", "left_anti").join(often.where(F.col("n") <= BLOCK), "v")
+    listed = written(cold.unionByName(index.join(hot, "v")), "lists")
     crowded = listed.where(F.col("n") > BLOCK).groupBy("id").agg(F.count("*").alias("hot"), F.sum(F.expr("shiftleft(1L, place)")).alias("places"))
-    few = F.least(F.lit(LISTED), F.col("n_shingles")) - F.col("hot") < ENOUGH
-    # of a crowded value's list, who is not in few is absent
-    placed = classes.join(crowded, "id", "left").select("id", "n_shingles", "sketch", F.when(~few, F.col("places")).otherwise(0).alias("absent"))
-    few = classes.join(crowded, "id").where(few).select("id")
+    own = F.when(F.col("n_shingles") <= SKETCH, F.col("n_shingles") - F.col("hot") <= F.floor(F.col("n_shingles") * (100 - SHARE) / 100))
+    left = own.otherwise(LISTED - F.col("hot") < ENOUGH)
+    # of a crowded value's list, who has enough other values is absent
+    placed = classes.join(crowded, "id", "left").select("id", "n_shingles", "sketch", F.when(~left, F.col("places")).otherwise(0).alias("absent"))
+    lean = classes.join(crowded, "id").where(left).select("id")
     short = min(SHORT, BLOCK)
-    middle = listed.where((F.col("n") > short) & (F.col("n") <= BLOCK)).select("v", "id")
-    long = written(listed.where(F.col("n") > BLOCK).join(few, "id", "left_semi").select("v", "id"), "long-lists")
-    star = long.join(long.groupBy("v").agg(F.min("id").alias("a")), "v").where("a != id").select("a", F.col("id").alias("b")).distinct()
+    middle = written(_different(listed.where((F.col("n") > short) & (F.col("n") <= BLOCK)).select("v", "id")), "middle-lists")
+    long = written(listed.where(F.col("n") > BLOCK).join(lean, "id", "left_semi").select("v", "id"), "long-lists")
+    star = long.join(few(long.groupBy("v").agg(F.min("id").alias("a")), "stars"), "v").where("a != id").select("a", F.col("id").alias("b")).distinct()
     pairs = _possible(_short_pairs(listed.where(F.col("n") <= short)).unionByName(star).distinct(), classes)
     trees = _trees(middle.join(placed, "id"))
     first = written(pairs.unionByName(trees).distinct(), "pairs")
-    repeats = full.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    linked = _verified(first, _sets(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), repeats))
-    late = _still_apart(middle.unionByName(long), components(linked), placed, lambda ids: _sets(docs, ids, repeats))
-    links = linked.unionByName(copies).unionByName(late)
-    found = components(links)
+    sets_of = lambda ids: _sets(docs, ids, classes, repeats)
+    linked = _verified(first, sets_of(first.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    late = _still_apart(middle.unionByName(long), components(linked), placed, sets_of)
+    found = components(linked.unionByName(copies).unionByName(late))
+    if repeats:  # a class may have an id that is no document's
+        real = found.join(full.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+        found = real.join(real.groupBy("component_id").agg(F.min("id").alias("_least")), "component_id").select("id", F.col("_least").alias("component_id"))
     return signed.join(found, signed["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -384,10 +392,19 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all columns; of rows that repeat a doc_id, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs that are kept, with all columns; of rows that repeat a doc_id, the one whose hash over all columns is least."""
+    found = written(near_duplicates(docs), "found")
+    names = docs.columns
+    gone = few(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", FEW_IDS)
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    times = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    again = few(times.select(F.col("doc_id").alias("_again")), "again", FEW_IDS)
+    if not again.limit(1).count():
+        return kept
+    several = kept.join(again, F.col("doc_id").cast("long") == F.col("_again"), "left_semi").withColumn("_row", F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))
+    least = several.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_row").alias("_least"))
+    one = several.join(least, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_least"))).select(*names).dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id").cast("long") == F.col("_again"), "left_anti").unionByName(one)
 
 
 def oracle() -> str:
