@@ -2,12 +2,14 @@
 
 A shard's ids are numbered densely; bit k of the numbers makes one plane, and each plane orders the
 next one stably by its bits. Planes are stored packed with their counts of ones before each block,
-which is all that access, rank, select, counting and occurrence lookup need.
+which is all that access, rank, select, counting and occurrence lookup need: rank counts on from a
+block's count, select searches the counts and then one block. Each shard is a compressed file of its own.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import part_offsets, table, written
+from tidelog.llm.common import freeing, part_offsets, shared_dir, table, with_ids
 from tidelog.llm.tokens import encoder, public_path
 
-MAGIC, BLOCK = b"WVM1", 64  # BLOCK: bytes between two stored counts
+MAGIC, BLOCK, SEED = b"WVM1", 64, 3  # BLOCK: bytes between two stored counts
 #: Tokens after which a shard is closed; a document is never cut.
-SHARD_TOKENS = 1 << 18
-SHARD_SCHEMA = "part int, shard int, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
+SHARD_TOKENS = 1 << 21
+SHARD_SCHEMA = "part int, shard int, local_start long, n_tokens long, doc_ids array<long>, no_ids array<boolean>, doc_tokens array<long>, payload binary"
 
 
 class WaveletMatrix:
@@ -110,18 +112,40 @@ class WaveletMatrix:
         k = int(np.searchsorted(self.alphabet, token))
         return k if k < len(self.alphabet) and self.alphabet[k] == token else None
 
-    def rank(self, token: int, i: int) -> int:
-        """How often token occurs among the first i ids."""
-        code = self._code(token)
-        if code is None:
-            return 0
-        low, high = 0, min(max(i, 0), self.n)
+    def _leaf(self, code: int, until: int) -> tuple[int, int]:
+        """Where the ids of a code stand below the deepest plane, of the first until ids."""
+        low, high = 0, until
         for level in range(len(self.planes)):
             a, b = self._rank1(level, low), self._rank1(level, high)
             if code >> (len(self.planes) - 1 - level) & 1:
                 low, high = self.zeros[level] + a, self.zeros[level] + b
             else:
                 low, high = low - a, high - b
+        return low, high
+
+    def _select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """The places of ones (bit 1) or zeros number k (from 0) of a plane."""
+        ones = self.counts[level].astype(np.int64)
+        before = ones if bit else np.arange(len(ones)) * (8 * BLOCK) - ones
+        block = np.searchsorted(before, k, "right") - 1
+        part = block[:, None] * BLOCK + np.arange(BLOCK)
+        held = np.where(part < len(self.planes[level]), self.planes[level].take(part, mode="clip"), 0).astype(np.uint8)
+        bits = np.unpackbits(held, axis=1) ^ (1 - bit)
+        return block * (8 * BLOCK) + (np.cumsum(bits, axis=1, dtype=np.int16) <= (k - before[block])[:, None]).sum(1)
+
+    def _up(self, code: int, place: np.ndarray) -> np.ndarray:
+        """The places in the text of places below the deepest plane."""
+        for level in range(len(self.planes) - 1, -1, -1):
+            bit = code >> (len(self.planes) - 1 - level) & 1
+            place = self._select(level, bit, place - self.zeros[level] * bit)
+        return place
+
+    def rank(self, token: int, i: int) -> int:
+        """How often token occurs among the first i ids."""
+        code = self._code(token)
+        if code is None:
+            return 0
+        low, high = self._leaf(code, min(max(i, 0), self.n))
         return high - low
 
     def count(self, token: int) -> int:
@@ -131,14 +155,16 @@ class WaveletMatrix:
         """The place of occurrence k (from 0) of token."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        low, high = 0, self.n - 1
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.rank(token, mid + 1) > k else (mid + 1, high)
-        return low
+        code = self._code(token)
+        return int(self._up(code, np.array([self._leaf(code, self.n)[0] + k]))[0])
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All places of token, a few thousand at a time."""
+        code = self._code(token)
+        if code is None:
+            return []
+        low, high = self._leaf(code, self.n)
+        return [x for a in range(low, high, 4096) for x in self._up(code, np.arange(a, min(a + 4096, high))).tolist()]
 
 
 def _counts(plane: np.ndarray) -> np.ndarray:
@@ -152,8 +178,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_tokens
     """The shard files of docs (doc_id, text), in ascending doc_id order, as a table in the shared folder.
 
     Null text counts as empty: the document is its end id alone. Null doc_id comes first; rows of one
-    doc_id are ordered by text, and repeated rows stay. An empty table gives no shard. Other columns
-    are ignored."""
+    doc_id are ordered by a hash of their texts, and repeated rows stay: however many there are, they
+    may lie in many tasks. An empty table gives no shard. Other columns are ignored."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, shard, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
@@ -164,12 +190,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_tokens
 
         def close() -> pd.DataFrame:
             ids = np.concatenate([x for d in docs_ for x in (d, end)])
-            row = {"part": part, "shard": shard, "local_start": start, "n_tokens": len(ids), "doc_ids": [None if pd.isna(x) else int(x) for x in names], "doc_tokens": [len(d) + 1 for d in docs_], "payload": WaveletMatrix.build(ids).to_bytes()}
+            row = {"part": part, "shard": shard, "local_start": start, "n_tokens": len(ids), "doc_ids": [k for k, _ in names], "no_ids": [none for _, none in names], "doc_tokens": [len(d) + 1 for d in docs_], "payload": WaveletMatrix.build(ids).to_bytes()}
             return pd.DataFrame([row])
 
         for batch in batches:
             for k in range(0, len(batch), 256):
-                for name, ids in zip(batch["doc_id"].iloc[k : k + 256], enc.encode(batch["text"].iloc[k : k + 256].tolist())):
+                for name, ids in zip(zip(batch["doc_id"].iloc[k : k + 256].tolist(), batch["no_id"].iloc[k : k + 256].tolist()), enc.encode(batch["text"].iloc[k : k + 256].tolist())):
                     names.append(name)
                     docs_.append(ids)
                     size += len(ids) + 1
@@ -179,8 +205,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_tokens
         if docs_:
             yield close()
 
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInPandas(shards, SHARD_SCHEMA), "wavelet-shards")
+    spark = docs.sparkSession
+    texts = with_ids(docs, F.coalesce("text", F.lit("")).alias("text")).withColumns({"_hash": F.xxhash64("text"), "_deal": F.rand(SEED)})
+    ordered = texts.repartitionByRange(~F.col("no_id"), "doc_id", "_hash", "_deal").sortWithinPartitions(~F.col("no_id"), "doc_id", "_hash", "text").select("doc_id", "no_id", "text")
+    path = f"{shared_dir(spark)}/tables/wavelet-shards-{uuid.uuid4().hex}"
+    ordered.mapInPandas(freeing(shards), SHARD_SCHEMA).write.partitionBy("part", "shard").option("compression", "zstd").parquet(path)
+    return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -192,11 +222,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ids = WaveletMatrix.from_bytes(row.payload).tokens()
                 sizes = np.asarray(row.doc_tokens, np.int64)
                 ends = np.cumsum(sizes)
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], "Int64"), "start": row.local_start + row.offset + ends - sizes, "n_tokens": sizes, "ids": [ids[e - s : e].tobytes() for s, e in zip(sizes, ends)]})
+                yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(np.asarray(row.doc_ids, np.int64), np.array(row.no_ids, bool)), "start": row.local_start + row.offset + ends - sizes, "n_tokens": sizes, "ids": [ids[e - s : e].tobytes() for s, e in zip(sizes, ends)]})
 
     offsets = part_offsets(shards.select("part", "n_tokens"), "part", "n_tokens", "offset")
     placed = shards.join(F.broadcast(offsets), "part")  # a row for each partition of the write
-    return placed.select("local_start", "offset", "doc_ids", "doc_tokens", "payload").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.select("local_start", "offset", "doc_ids", "no_ids", "doc_tokens", "payload").mapInPandas(freeing(documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
