@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import freeing, table
+from tidelog.llm.common import freeing, ids_of, table, with_ids
 
 LENGTHS = (1, 2, 3, 4)
 #: n-grams are told apart by a hash of so many bits.
@@ -168,9 +168,9 @@ def identify(docs: DataFrame, model: Model, batch_chars: int = 400_000) -> DataF
                     found += m.predict(group)
                     group, chars = [], 0
             found += m.predict(group)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+            yield pd.DataFrame({"doc_id": ids_of(batch), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(freeing(predict), "doc_id long, lang_pred string, score double")
+    return with_ids(docs, "text").mapInPandas(freeing(predict), "doc_id long, lang_pred string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

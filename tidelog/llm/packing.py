@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import part_offsets, table, written
+from tidelog.llm.common import freeing, ids_of, part_offsets, table, with_ids, written
 from tidelog.llm.tokens import encoder, public_path
 
 WINDOW = 1024
@@ -33,11 +33,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 ids = enc.encode(batch["text"].iloc[k : k + 256].tolist())
                 sizes = np.array([len(x) + 1 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
-                yield pd.DataFrame({"part": part, "local_start": start + ends - sizes, "doc_id": batch["doc_id"].iloc[k : k + 256].to_numpy(), "n_tokens": sizes, "ids": [x.tobytes() + end for x in ids]})
+                yield pd.DataFrame({"part": part, "local_start": start + ends - sizes, "doc_id": ids_of(batch.iloc[k : k + 256]), "n_tokens": sizes, "ids": [x.tobytes() + end for x in ids]})
                 start += int(ends[-1])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(texts.mapInPandas(encode, "part int, local_start long, doc_id long, n_tokens long, ids binary"), "tokens")
+    texts = with_ids(docs, F.coalesce("text", F.lit("")).alias("text"))
+    return written(texts.mapInPandas(freeing(encode), "part int, local_start long, doc_id long, n_tokens long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
@@ -51,9 +51,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, place, n, total, data in zip(batch["doc_id"], batch["place"], batch["n_tokens"], batch["total"], batch["ids"]):
+            for name, place, n, total, data in zip(ids_of(batch), batch["place"], batch["n_tokens"], batch["total"], batch["ids"]):
                 ids = np.frombuffer(data, f"<u{len(data) // n}").astype("<u4")
-                name = None if pd.isna(doc_id) else int(doc_id)
                 at = 0
                 while at < n:
                     seq, off = divmod(place + at, window)
@@ -72,12 +71,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
     places = part_offsets(tokens.select("part", "n_tokens"), "part", "n_tokens", "part_offset")
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
     placed = tokens.join(F.broadcast(places), "part").crossJoin(F.broadcast(total))  # a row for each partition, and one row
-    return placed.select("doc_id", (F.col("local_start") + F.col("part_offset")).alias("place"), "n_tokens", "total", "ids").mapInPandas(cut, PIECES)
+    return with_ids(placed, (F.col("local_start") + F.col("part_offset")).alias("place"), "n_tokens", "total", "ids").mapInPandas(freeing(cut), PIECES)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length", "ids"])
-    return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+    return frame.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

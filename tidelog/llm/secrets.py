@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import freeing, table
+from tidelog.llm.common import freeing, ids_of, table, with_ids
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,7 +31,11 @@ COMMON = (
     "password pass admin root user login test guest welcome secret default master hello love dragon monkey letmein sunshine princess football "
     "baseball shadow superman batman iloveyou trustno freedom whatever hunter killer summer winter spring autumn january february march april "
     "may june july august september october november december monday tuesday wednesday thursday friday saturday sunday changeme example sample "
-    "temp demo my the your this key token placeholder none null true false value string name"
+    "temp demo my the your this key token placeholder none null true false value string name "
+    "michael jordan jennifer charlie thomas daniel robert jessica ashley nicole hannah andrew joshua matthew george maggie pepper ginger buster cookie cheese banana orange "
+    "apple silver golden purple yellow diamond flower butterfly chocolate soccer hockey tigger thunder phoenix eagle falcon tiger computer internet server network "
+    "system office manager service account access private public backup mobile online company business change update hidden safe lock open start stop new old first last "
+    "red blue green black white one two three mother father sister brother family friend forever always happy lucky magic star moon water fire wind stone river"
 ).split()
 #: Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -168,9 +172,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in find_secrets(t)] for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": ids_of(batch), "spans": [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in find_secrets(t)] for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(freeing(found), "doc_id long, spans array<struct<kind:string,start:long,end:long,log10_guesses:double>>")
+    return with_ids(docs, "text").mapInPandas(freeing(found), "doc_id long, spans array<struct<kind:string,start:long,end:long,log10_guesses:double>>")
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:

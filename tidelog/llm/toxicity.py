@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import free, freeing, table
+from tidelog.llm.common import free, freeing, ids_of, table, with_ids
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
@@ -331,9 +331,9 @@ def score(docs: DataFrame, net: Network, batch_chars: int = 300_000) -> DataFram
                     out.append(net.score(group))
                     group, chars = [], 0
             out.append(net.score(group))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.concatenate(out)})
+            yield pd.DataFrame({"doc_id": ids_of(batch), "score": np.concatenate(out)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(freeing(scored), "doc_id long, score double")
+    return with_ids(docs, "text").mapInPandas(freeing(scored), "doc_id long, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
