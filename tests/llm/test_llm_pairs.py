@@ -1,6 +1,7 @@
 """Near-duplicates and neighbours, against all pairs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -177,3 +178,114 @@ def test_few_neighbours_are_all_found(spark):
     got = ann.search(df, df.where("vec_id = 0")).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [4, 3, 2, 1]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 2048, 4096])
+def test_words_with_colliding_polynomials_are_told_apart(n):
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert not set(minhash.shingles(word)) & set(minhash.shingles(other))
+    assert len(minhash.shingles(f"one two {word} three four {other}")) == 2
+
+
+def test_shingle_sets_have_as_many_members_as_the_true_sets():
+    rnd = random.Random(5)
+    words = ["a", "A", "bb", "ünï", "日本", "x" * 70, "y" * 8, "z" * 9, "\x00", "."]
+    texts = [rnd.choice([" ", "\n", " \t "]).join(rnd.choices(words, k=rnd.choice([0, 1, 4, 5, 6, 60]))) for _ in range(200)] + [None, "", " \n"]
+    for text, found in zip(texts, minhash.shingle_sets(texts)):
+        w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+        true = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(found) == len(true)
+        assert (found == minhash.shingles(text)).all()
+
+
+def test_minhash_two_texts_under_one_doc_id(spark):
+    rnd = random.Random(8)
+    make = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    one, two, three = make(), make(), make()
+    near = lambda ws: " ".join([*ws[:-2], "new"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (5, " ".join(two)), (7, near(one)), (9, near(two)), (3, " ".join(three)), (11, near(three)), (3, " ".join(make())), (20, " ".join(make()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert found == [(3, 3), (3, 3), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5), (11, 3), (20, 20)]
+    kept = [r["doc_id"] for r in minhash.deduplicated(docs).collect()]
+    assert sorted(kept) == [3, 5, 20]
+
+
+def test_minhash_links_hold_where_most_of_a_text_is_hot(spark, monkeypatch):
+    """Texts that are four fifths a passage of more than BLOCK texts, so what differs stands in the values that are not crowded."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    rnd = random.Random(12)
+    passage = [f"p{k}" for k in range(200)]
+    texts = []
+    for _ in range(90):
+        own = [f"o{rnd.randrange(10**9)}" for _ in range(rnd.choice([20, 40, 120, 400]))]
+        texts.append(" ".join([*passage, *own]))
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(want))
+    assert len(set(want)) < len(want)
+
+
+def test_vectors_in_cells_link_as_all_pairs_do(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 16))
+    x = np.concatenate([centres, *(c + 0.012 * rng.normal(size=(rng.integers(1, 6), 16)) * np.sqrt((c * c).sum()) / 4 for c in centres[:150])])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    whole = sorted(map(tuple, vecdedup.near_duplicates(frame).collect()))
+    assert sorted(map(tuple, vecdedup.near_duplicates(frame, whole=100, block=32).collect())) == whole
+    assert sum(r[1] for r in whole) > 0
+
+
+def test_collisions_count_windows():
+    rng = np.random.default_rng(1)
+    p, q = rng.normal(size=(300, 7)), rng.normal(size=(170, 7))
+    assert (vecdedup.collisions(p, q, 0.3) == (np.abs(p[:, None, :] - q[None, :, :]) <= 0.3).sum(2)).all()
+
+
+def test_the_share_of_candidates_falls_as_rows_grow():
+    rng = np.random.default_rng(2)
+    share = []
+    for n in (2000, 16_000):
+        x = rng.normal(size=(n, 16))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        stored, asked = ann.unit(x, 1.0), ann.unit(x[:30], None)
+        sizes = ann.hash_sizes(n, 16, 16)
+        score = asked[:, :-1] @ x.T
+        near = np.argsort(-score, 1)[:, 1:21]
+        owner = np.repeat(np.arange(30), 20)
+        need = np.sort(ann.needed_probes(asked, stored[near.ravel()], owner, sizes, 16, 1024))
+        probes = int(need[int(np.ceil(0.95 * len(need))) - 1])
+        seen = np.zeros((30, n), bool)
+        for t in range(16):
+            buckets, looked = ann.buckets(stored, t, sizes), ann.probes(asked, t, sizes, probes)
+            for k in range(30):
+                seen[k] |= np.isin(buckets, looked[k])
+        assert np.take_along_axis(seen, near, 1).mean() >= 0.95
+        share.append(seen.mean())
+    assert share[1] < 0.8 * share[0]
+
+
+@pytest.mark.parametrize("at_a_time", [7, 100, 10**6])
+def test_full_sets_compare_alike_range_by_range(monkeypatch, at_a_time):
+    monkeypatch.setattr(minhash, "AT_A_TIME", at_a_time)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 60, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(0, 2**64, rng.integers(0, 9), np.uint64)])) for _ in range(25)] + [np.unique(base), np.unique(base)[1:]]
+    apart = rng.random((27, 27)) < 0.8
+    want = [(i, j) for i in range(27) for j in range(i + 1, 27) if apart[i, j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    assert sorted(map(tuple, minhash._linked(sets, apart).tolist())) == want and want

@@ -1,8 +1,10 @@
 """Token output, packing, mixing, secrets, licences, languages, toxicity: against plain versions of the same rules."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -39,6 +41,32 @@ def test_chunks_encode_as_whole_texts(plain, texts):
     assert [x.tolist() for x in tokens.encoder(tokens.public_path()).encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", " \n", "\r\n", "foo", "Bc", "'s", "don't", ".", ",", "12", "é", "ñandú", "Привет", "҂", "一二", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\0", "«", "<|endoftext|>", "<|end", "_", "x" * 20, "é" * 9, "a1", "\u0300"]), max_size=12), max_size=4))
+def test_cuts_are_where_pieces_begin(plain, parts):
+    texts = ["".join(p) for p in parts]
+    assert [x.tolist() for x in tokens.encoder(tokens.public_path()).encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("n", [8, 15, 16, 64, 1024, 2048, 4096])
+def test_chunks_with_colliding_polynomials_are_told_apart(plain, n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word[:n], word[:n].translate(str.maketrans("ab", "ba"))]
+    assert [x.tolist() for x in tokens.encoder(tokens.public_path()).encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_small_memory_of_chunks_starts_anew(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "PLACES", 6)
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choices("abcdeé", k=rnd.randint(1, 18))) for _ in range(200)) for _ in range(20)]
+    enc = tokens.ChunkEncoder(tokens.public_path())
+    for _ in range(2):
+        for t in texts:
+            assert enc.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 70000), max_size=300), st.integers(0, 70000))
 def test_wavelet_matrix(ids, token):
@@ -50,6 +78,19 @@ def test_wavelet_matrix(ids, token):
         assert w.rank(t, len(ids) // 2) == ids[: len(ids) // 2].count(t)
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 7, 3000])
+def test_select_over_many_blocks(kinds):
+    ids = np.random.default_rng(kinds).integers(0, kinds, 20_000) * 3
+    w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+    for token in {int(ids[0]), int(ids[-1]), 3 * (kinds // 2)}:
+        want = np.flatnonzero(ids == token).tolist()
+        assert w.occurrences(token) == want
+        for k in (0, len(want) // 2, len(want) - 1):
+            assert not want or w.select(token, k) == want[k]
+    with pytest.raises(IndexError):
+        w.select(1, 0)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -166,6 +207,52 @@ def test_guess_costs_are_those_of_the_cheapest_cut():
     assert secrets.guess_cost("blorptastic", frozenset({"blorptastic"})) < secrets.guess_cost("blorptastic")
 
 
+def cheapest_cut(value, words):
+    """The same prices, over all parts of value."""
+    low, best = secrets.lowered(value), [0.0] + [float("inf")] * len(value)
+    for i in range(len(value)):
+        for j in range(i + 1, len(value) + 1):
+            part, l, n, costs = value[i:j], low[i:j], j - i, []
+            if n == 1:
+                best[j] = min(best[j], best[i] + math.log10(secrets._alphabet(part)))
+            rank = secrets._RANK.get(l) or (1000 if l in words else 0)
+            if n > 1 and rank:
+                costs.append(math.log10(rank + 1) + (0 if l == part else math.log10(4)))
+            if part[0].isdigit() and 4 <= n <= 10 and secrets._DATE.fullmatch(part):
+                costs.append(math.log10(40_000 if n > 4 else 120))
+            if n > 2 and len(set(part)) == 1:
+                costs.append(math.log10(secrets._alphabet(part[0])) + secrets.length_cost(n))
+            if n > 2 and len({ord(b) - ord(a) for a, b in zip(part, part[1:])} | {1}) == 1 or n > 2 and len({ord(b) - ord(a) for a, b in zip(part, part[1:])} | {-1}) == 1:
+                costs.append(math.log10(52) + secrets.length_cost(n))
+            if n > 3 and all(secrets._near(a, b) for a, b in zip(l, l[1:])):
+                costs.append(math.log10(40) + n * math.log10(2.5))
+            best[j] = min([best[j], *(best[i] + math.log10(2) + c for c in costs)])
+    return best[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"abcABC0123-/é1", "aaa", "password", "qwerty", "hello", "2019", "12", "abcdef", "654321", "asdfgh", "aba", "Pass"]), max_size=7))
+def test_guess_cost_is_the_least_over_all_cuts(parts):
+    value, words = "".join(parts), frozenset({"aba", "ccc"})
+    assert math.isclose(secrets.guess_cost(value, words), cheapest_cut(value, words), abs_tol=1e-9)
+
+
+def test_a_run_may_end_before_its_last_step():
+    assert secrets.guess_cost("qwertyhello") < 6 < secrets.STRONG
+
+
+def test_long_runs_take_little_time():
+    began = time.time()
+    for value in ("a" * 60_000, "abc" * 20_000, "0123456789" * 6000):
+        secrets.guess_cost(value)
+    assert time.time() - began < 30
+
+
+def test_all_values_are_left_out_of_the_words_around():
+    found = [text[a:b] for text in ["pwd: kxqwzrtyplmnb and again pwd: kxqwzrtyplmnb"] for _, a, b, _ in secrets.find_secrets(text)]
+    assert found == ["kxqwzrtyplmnb"] * 2
+
+
 def test_secret_columns_and_masks(spark):
     docs = frame(spark, ["my credentials: xK9#vQ2!mZ7p here", None, "", "token = 0641917ea4e9feb9cda83477b57ac2654884f485", "nothing secret: it is about words"])
     rows = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
@@ -230,6 +317,28 @@ def test_kernel_is_the_share_of_common_ngrams():
     assert int(p[0] @ p[1]) == len(presence(texts[0]) & presence(texts[1]))
 
 
+def test_values_are_those_of_the_kernel_and_of_a_direct_solve():
+    """Nyström landmarks that are all texts give kernel ridge regression itself."""
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices(alphabet, k=40)) for alphabet in ("abcd ", "cdef ", "efgh ") for _ in range(6)]
+    names = [x for x in "pqr" for _ in range(6)]
+    grams = [{t[i : i + n] for n in langid.LENGTHS for i in range(len(t) - n + 1)} for t in texts]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    y = np.where(np.array(names)[:, None] == np.array(list("pqr"))[None, :], 1.0, -1.0)
+    want = kernel @ np.linalg.solve(kernel + 6 * 1e-2 * np.eye(len(texts)), y)
+    model = langid.fit(texts, names, landmarks=6)
+    assert np.allclose(model.scores(texts), want, atol=1e-3)
+
+
+def test_each_text_is_learnt_with_its_own_language(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, names: seen.extend(zip(texts, names)))
+    free = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2][:3]
+    rows = [(free[0], "one", "aa"), (free[0], "two", None), (free[0], "three", "bb"), (free[0], "one", "aa"), (free[1], "four", "bb"), (free[2], None, "bb")]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(seen) == [("four", "bb"), ("one", "aa"), ("three", "bb")]
+
+
 def toxic_sample():
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choices(["an", "er", "th", "is", "on", "re"], k=rnd.randint(1, 4)))
@@ -260,6 +369,26 @@ def test_network_tells_held_out_texts(network):
     assert network.score([None, "", "?!"]).tolist() == [0, 0, 0]
 
 
+def test_every_part_of_a_long_word_is_read():
+    text = "".join(chr(97 + k * k % 26) for k in range(500))
+    pieces = toxicity.words_of(text)
+    n = max(toxicity.GRAM_LENGTHS)
+    assert max(map(len, pieces)) <= toxicity.LONGEST_WORD
+    assert {text[k : k + n] for k in range(len(text) - n + 1)} == {p[k : k + n] for p in pieces for k in range(len(p) - n + 1)}
+
+
+def test_labels_of_repeated_doc_ids(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.update(zip(texts, labels)))
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 50)
+    docs = spark.createDataFrame([(3, "b"), (3, "a"), (3, "a"), (4, None), (5, "x" * 60), (6, "never")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    held = {k for k in (3, 4, 5, 6) if zlib.crc32(str(k).encode()) % 3 == 1}
+    want = {k: v for k, v, i in (("a", 1, 3), ("", 0, 4)) if i not in held}
+    assert seen == want
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         starts = toxicity.window_starts(n)
